@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, jaccard_join, packing, quality_rules, suffix_dedup
+from . import dac, decontaminate, html_text, jaccard_join, packing, quality_rules, suffix_dedup
 
 
 def tokenizer_path(name: str) -> str:
@@ -51,6 +51,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_documents(table(spark, sf_dir, "documents"), k=5, percent=80).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.removed_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_html_extraction": op5_html_extraction,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
