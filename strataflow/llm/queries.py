@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, html_text, jaccard_join, packing, quality_rules, suffix_dedup
+from . import conv_quality, dac, decontaminate, html_text, jaccard_join, license_scan, packing, quality_rules, quote_chat, suffix_dedup
 
 
 def tokenizer_path(name: str) -> str:
@@ -55,11 +55,24 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_quotation_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.removed_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_byte_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return conv_quality.score_documents(docs, conv_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,7 +83,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_html_extraction": op5_html_extraction,
+    "op6_quotation_chat": op6_quotation_chat,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_byte_conv_quality": op8_byte_conv_quality,
+    "op9_license_scan": op9_license_scan,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_license_scan": license_scan.oracle()}
