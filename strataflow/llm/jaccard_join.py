@@ -164,10 +164,10 @@ def _assemble(percent: int) -> Callable[[pa.Table], pa.Table]:
             for i in np.flatnonzero((n > 0) & (100 * (hi - lo) >= percent * n.astype(np.int64))).tolist():
                 part = gram[lo[i] : hi[i]]
                 u[i] = n[i] - len(part)
-                mark = mixed[hi[i]] - mixed[lo[i]] + np.uint64(int(n[i]))
+                mark = mixed[hi[i] : hi[i] + 1] - mixed[lo[i] : lo[i] + 1] + n[i : i + 1].astype(np.uint64)  # wraps
                 if u[i]:
-                    mark ^= K.mix(keys[i : i + 1].view(np.uint64))[0]
-                node[i] = K.mix(np.array([mark], np.uint64)).view(np.int64)[0]
+                    mark ^= K.mix(keys[i : i + 1].view(np.uint64))
+                node[i] = K.mix(mark).view(np.int64)[0]
                 grams[i] = part.tobytes()
         return pa.Table.from_arrays(
             [pa.array(keys), pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(n, pa.int32()), pa.array(node), pa.array(u, pa.int32()), pa.array(grams, pa.binary())],
@@ -280,7 +280,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """key, doc_id, n_shingles, component_id (smallest linked doc_id), n_links of every document."""
+    """key, doc_id, n_shingles, component_id (smallest linked doc_id), n_links, group (a number that
+    linked documents share; null for those that link with nothing) of every document."""
     sets = written(document_sets(docs, k, percent), "sets")
     active = sets.where("grams is not null")
     nodes = written(active.groupBy("node").agg(F.count(F.lit(1)).alias("w"), F.first("n").alias("n"), F.first("u").alias("u"), F.first("grams").alias("grams")), "nodes")
@@ -301,7 +302,8 @@ def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     of_node = of_node.select("node", "w", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     least = active.groupBy("node").agg(F.min("doc_id").alias("low")).join(of_node, "node")
     by_label = least.groupBy("label").agg(F.min("low").alias("component_id"))
-    of_node = written(least.join(by_label, "label").select("node", "component_id", (F.col("w") - 1 + F.col("links")).alias("n_links")), "node-components")
+    links_of = F.col("w") - 1 + F.col("links")
+    of_node = written(least.join(by_label, "label").select("node", "component_id", links_of.alias("n_links"), F.when(links_of > 0, F.col("label")).alias("group")), "node-components")
     return sets.withColumn("node", F.when(F.col("grams").isNotNull(), F.col("node"))).join(of_node, "node", "left").select(
-        "key", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "key", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "group"
     )
