@@ -5,6 +5,624 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import scalars as S
+from ..operators import components, frames, sequence, stats, stencil, zones
+from ..sources import library
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+# DuckDB: pixels of the embeddings, each vector an 8 x 8 frame; and the closed-form frames.
+PX = "px as (select label as clip, vec_id as t, cast(i // 8 as int) as y, cast(i % 8 as int) as x, cast(embedding[i + 1] as double) as v from embeddings, range(64) r(i))"
+CF = """g as (select cast(i // 4608 as int) as t, cast((i // 96) % 48 as int) as y, cast(i % 96 as int) as x from range(73728) r(i)),
+bgs as (select t, y, x, unnest([0, 1, 2]) as c, unnest([0.35 + 0.25 * sin(0.31 * (x + 3 * t)) + 0.15 * sin(0.17 * (y + 2 * t)),
+ 0.40 + 0.20 * sin(0.23 * (x + 3 * t) + 1) + 0.10 * sin(0.11 * ((x + 3 * t) + (y + 2 * t))), 0.45 + 0.20 * sin(0.27 * (y + 2 * t) + 2) + 0.10 * sin(0.13 * (x + 3 * t))]) as bg from g),
+cf as (select t, y, x, c, a, cast(floor(greatest(0, least(1, a + (1 - a) * greatest(0, least(1, bg)))) * 255 + 0.5) as int) as b, bg
+ from (select *, cast(case when (x between 20 and 40 and y between 14 and 34) or (x between 50 and 80 and y between 22 and 28) then 0.6 else 0 end as double) as a from bgs))"""
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def px(spark: SparkSession, d: str) -> DataFrame:
+    return frames.embedding_frames(read(spark, d, "embeddings"))
+
+
+def r6(c: str, alias: str | None = None):
+    """Six digits, and no negative zero."""
+    return (F.round(F.col(c), 6) + F.lit(0.0)).alias(alias or c)
+
+
+def q6(c: str, alias: str | None = None) -> str:
+    return f"round({c}, 6) + 0.0 as {alias or c}"
+
+
+def sign_mask(rows: DataFrame) -> DataFrame:
+    return rows.select("clip", "t", "y", "x", F.when(F.col("v") > 0, 1).otherwise(0).alias("m"))
+
+
+MASK = "mk as (select clip, t, y, x, cast(v > 0 as int) as m from px)"
+
+
+# --- temporal aggregates -----------------------------------------------------------------------------
+@query("temporal_median_mad", f"with {PX}, m as (select clip, y, x, median(v) as med from px group by all) select clip, y, x, {q6('any_value(med)', 'med')}, round(median(abs(v - med)) * 1.4826, 6) + 0.0 as mad from px join m using (clip, y, x) group by clip, y, x")
+def _(spark, d):
+    return stats.median_mad(px(spark, d), ["clip", "y", "x"]).select("clip", "y", "x", r6("med"), r6("mad"))
+
+
+@query("spread_map", f"with {CF}, m as (select y, x, c, median(b / 255.0) as med from cf group by all), s as (select y, x, c, median(abs(b / 255.0 - med)) * 1.4826 as mad from cf join m using (y, x, c) group by y, x, c) select y, x, round(avg(mad), 6) + 0.0 as spread from s group by y, x")
+def _(spark, d):
+    return stats.median_mad(frames.closed_form_frames(spark), ["y", "x", "c"]).groupBy("y", "x").agg(F.avg("mad").alias("spread")).select("y", "x", r6("spread"))
+
+
+@query("mean_abs_deviation", f"with {PX}, m as (select clip, t, median(v) as med from px group by all) select clip, t, round(avg(abs(v - med)), 6) + 0.0 as mad from px join m using (clip, t) group by clip, t")
+def _(spark, d):
+    rows = px(spark, d)
+    return rows.join(rows.groupBy("clip", "t").agg(F.median("v").alias("med")), ["clip", "t"]).groupBy("clip", "t").agg(F.avg(F.abs(F.col("v") - F.col("med"))).alias("mad")).select("clip", "t", r6("mad"))
+
+
+@query("nearest_rank_quantile", "select l_returnflag, list_sort(list(l_quantity))[cast(floor((count(*) - 1) * 0.9) as bigint) + 1] as q_value from lineitem group by l_returnflag")
+def _(spark, d):
+    return stats.nearest_rank(read(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", 0.9)
+
+
+@query("nearest_rank_quantile_frames", f"with {PX} select clip, round(list_sort(list(v))[cast(floor((count(*) - 1) * 0.7) as bigint) + 1], 6) + 0.0 as q_value from px group by clip")
+def _(spark, d):
+    return stats.nearest_rank(px(spark, d), ["clip"], "v", 0.7).select("clip", r6("q_value"))
+
+
+@query("exposure_regression", f"with {PX}, m as (select clip, y, x, median(v) as med from px group by all), j as (select * from px join m using (clip, y, x)), g as (select clip, t, case when var_pop(med) > 1e-5 then greatest(0.3, least(3.0, covar_pop(med, v) / var_pop(med))) else 1.0 end as gain, avg(v) as av, avg(med) as am from j group by clip, t) select clip, t, {q6('gain')}, {q6('av - gain * am', 'offs')} from g")
+def _(spark, d):
+    rows = px(spark, d)
+    med = rows.groupBy("clip", "y", "x").agg(F.median("v").alias("med"))
+    return stats.exposure(rows.join(med, ["clip", "y", "x"]), ["clip", "t"]).select("clip", "t", r6("gain"), r6("offset", "offs"))
+
+
+@query("motion_metric", f"with {PX}, m as (select clip, y, x, median(v) as med from px group by all), j as (select * from px join m using (clip, y, x)), g as (select clip, t, case when var_pop(med) > 1e-5 then greatest(0.3, least(3.0, covar_pop(med, v) / var_pop(med))) else 1.0 end as gain, avg(v) as av, avg(med) as am from j group by clip, t), e as (select clip, y, x, v - (gain * med + (av - gain * am)) as res from j join g using (clip, t)), em as (select clip, y, x, median(res) as rm from e group by all), s as (select clip, y, x, median(abs(res - rm)) * 1.4826 as mad from e join em using (clip, y, x) group by clip, y, x) select clip, round(median(mad), 6) + 0.0 as motion from s where x < 1 or x >= 7 or y < 1 or y >= 7 group by clip")
+def _(spark, d):
+    rows = px(spark, d)
+    joined = rows.join(rows.groupBy("clip", "y", "x").agg(F.median("v").alias("med")), ["clip", "y", "x"])
+    residual = joined.join(stats.exposure(joined, ["clip", "t"]), ["clip", "t"]).withColumn("res", F.col("v") - (F.col("gain") * F.col("med") + F.col("offset")))
+    ring = (F.col("x") < 1) | (F.col("x") >= 7) | (F.col("y") < 1) | (F.col("y") >= 7)
+    return stats.median_mad(residual.where(ring), ["clip", "y", "x"], "res").groupBy("clip").agg(F.median("mad").alias("motion")).select("clip", r6("motion"))
+
+
+@query("ols_opacity", "select l_returnflag, round(case when var_pop(l_discount) < 0.0003 then 0.5 else 1 - greatest(0, least(1, covar_pop(l_discount, l_tax) / var_pop(l_discount))) end, 6) + 0.0 as alpha from lineitem group by l_returnflag")
+def _(spark, d):
+    rows = read(spark, d, "lineitem")
+    slope = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.covar_pop("l_discount", "l_tax") / F.var_pop("l_discount")))
+    return rows.groupBy("l_returnflag").agg(F.when(F.var_pop("l_discount") < 0.0003, 0.5).otherwise(1 - slope).alias("alpha")).select("l_returnflag", r6("alpha"))
+
+
+@query("frame_opacity", f"with {CF}, m as (select y, x, c, median(b / 255.0) as med, avg(bg) as bgm from cf where a > 0 group by all) select c, round(case when var_pop(bgm) < 0.003 then 0.5 else 1 - greatest(0, least(1, covar_pop(bgm, med) / var_pop(bgm))) end, 6) + 0.0 as alpha from m group by c")
+def _(spark, d):
+    rows = frames.closed_form_frames(spark).where("alpha > 0").groupBy("y", "x", "c").agg(F.median("v").alias("med"), F.avg("bg").alias("bgm"))
+    return stats.opacity(rows, ["c"], "bgm", "med").select("c", r6("alpha"))
+
+
+@query("tone_regression", f"with {PX}, p as (select clip, t, y, x, v, lag(v) over (partition by clip, y, x order by t) as was from px) select clip, t, round(case when var_pop(was) > 1e-5 then greatest(0.6, least(1.6, covar_pop(was, v) / var_pop(was))) else 1.0 end, 6) + 0.0 as gain from p where was is not null group by clip, t")
+def _(spark, d):
+    rows = sequence.history(px(spark, d), ["clip", "y", "x"], ["t"], "v", 1).where("v_1 is not null")
+    return rows.groupBy("clip", "t").agg(stats.clamped_slope("v_1", "v", 0.6, 1.6, 1e-5, 1.0).alias("gain")).select("clip", "t", r6("gain"))
+
+
+@query("pair_correlation", f"with {PX}, p as (select a.clip, a.y, a.x, corr(a.v, b.v) as r, count(*) as n from px a join px b on a.clip = b.clip and a.t = b.t and a.y = b.y and b.x = a.x + 1 group by all having var_pop(a.v) >= 4e-4 and var_pop(b.v) >= 4e-4) select clip, round(greatest(0, least(1, median(r))), 6) + 0.0 as gamma from p group by clip having count(*) >= 4")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("clip", "t", "y").orderBy("x")
+    pairs = px(spark, d).withColumn("b", F.lead("v").over(w)).where("b is not null").groupBy("clip", "y", "x").agg(F.corr("v", "b").alias("r"), F.var_pop("v").alias("va"), F.var_pop("b").alias("vb"))
+    ok = pairs.where("va >= 4e-4 and vb >= 4e-4").groupBy("clip").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.median("r"))).alias("gamma"), F.count(F.lit(1)).alias("n"))
+    return ok.where("n >= 4").select("clip", r6("gamma"))
+
+
+@query("presence_score", f"with {PX}, m as (select clip, y, x, median(v) as med from px group by all) select clip, t, round(case when sum(med * med) > 1e-3 then greatest(-1, least(2, sum(v * med) / sum(med * med))) else 1 end, 6) + 0.0 as presence from px join m using (clip, y, x) group by clip, t")
+def _(spark, d):
+    rows = px(spark, d)
+    med = rows.groupBy("clip", "y", "x").agg(F.median("v").alias("med"))
+    return stats.through_origin(rows.join(med, ["clip", "y", "x"]), ["clip", "t"], "med", "v").select("clip", "t", r6("presence"))
+
+
+@query("match_error", f"with {PX}, p as (select clip, t, v, lag(v) over (partition by clip, y, x order by t) as was from px) select clip, t, round(stddev_pop(v - was), 6) + 0.0 as error from p where was is not null group by clip, t")
+def _(spark, d):
+    rows = sequence.history(px(spark, d), ["clip", "y", "x"], ["t"], "v", 1).where("v_1 is not null")
+    return stats.match_error(rows, ["clip", "t"], "v", "v_1").select("clip", "t", r6("error"))
+
+
+@query("motion_search", f"with {CF}, l as (select t, y, x, sum(b) / 765.0 as lum from cf group by all), o as (select i as dx, j as dy from range(-4, 5) a(i), range(-4, 5) b(j)), e as (select a.t, dx, dy, round(stddev_pop(a.lum - b.lum), 9) as err from l a, o, l b where a.t between 1 and 3 and b.t = a.t - 1 and b.y = a.y + dy and b.x = a.x + dx and a.y between 8 and 39 and a.x between 82 and 91 and b.x between 0 and 95 group by all) select t, arg_min(dx, (err, dy, dx)) as dx, arg_min(dy, (err, dy, dx)) as dy from e group by t")
+def _(spark, d):
+    lum = frames.luminance(frames.closed_form_frames(spark, n=4))
+    now = lum.where("t between 1 and 3 and y between 8 and 39 and x between 82 and 91")
+    moved = now.select((F.col("t") - 1).alias("t"), "y", "x", "lum", F.explode(F.sequence(F.lit(-4), F.lit(4))).alias("dx")).withColumn("dy", F.explode(F.sequence(F.lit(-4), F.lit(4))))
+    pairs = moved.select("t", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "dx", "dy", F.col("lum").alias("cur")).join(lum, ["t", "y", "x"])
+    err = stats.match_error(pairs, ["t", "dx", "dy"], "cur", "lum")
+    best = err.groupBy("t").agg(F.min(F.struct(F.round("error", 9).alias("e"), F.col("dy").cast("long").alias("dy"), F.col("dx").cast("long").alias("dx"))).alias("b"))
+    return best.select((F.col("t") + 1).alias("t"), "b.dx", "b.dy")
+
+
+# --- neighbourhoods ------------------------------------------------------------------------------------
+def _gradient_sql(axis: str) -> str:
+    other = "y" if axis == "x" else "x"
+    return f"{PX}, gd as (select clip, t, y, x, lead(v) over (partition by clip, t, {other} order by {axis}) - v as d from px), gm as (select clip, y, x, median(d) as med from gd where d is not null group by all), gg as (select clip, y, x, any_value(med) as med, median(abs(d - med)) * 1.4826 as mad from gd join gm using (clip, y, x) where d is not null group by clip, y, x)"
+
+
+for _axis in ("x", "y"):
+
+    @query(f"consistent_gradient_{_axis}", f"with {_gradient_sql(_axis)} select clip, y, x, round(case when abs(med) > 0.02 and abs(med) > 2 * mad then med else 0 end, 6) + 0.0 as g from gg")
+    def _(spark, d, axis=_axis):
+        return stencil.consistent_gradient(px(spark, d), ["clip"], axis).select("clip", "y", "x", r6("g"))
+
+
+@query("significant_gradient", f"with {_gradient_sql('x')}, n as (select clip, count(distinct t) as n from px group by clip), mm as (select clip, y, x, cast(median(v) > 0 as int) as m from px group by all), tt as (select clip, y, x, greatest(m, coalesce(lead(m) over (partition by clip, y order by x), 0)) as touch from mm) select clip, y, x, round(case when abs(med) > 2.5 / sqrt(n) * mad then med else 0 end, 6) + 0.0 as g from gg join n using (clip) join tt using (clip, y, x) where touch = 1")
+def _(spark, d):
+    rows = px(spark, d)
+    mask = rows.groupBy("clip", "y", "x").agg(F.when(F.median("v") > 0, 1).otherwise(0).alias("m"))
+    return stencil.significant_gradient(rows, mask, ["clip"], "x").select("clip", "y", "x", r6("g"))
+
+
+@query("gradient_energy", f"with {CF}, px as (select c as clip, t, y, x, b / 255.0 as v from cf), gx as (select clip, t, y, x, lead(v) over (partition by clip, t, y order by x) - v as d from px), gy as (select clip, t, y, x, lead(v) over (partition by clip, t, x order by y) - v as d from px), ga as (select 0 as ax, * from gx where d is not null union all select 1, * from gy where d is not null), gm as (select ax, clip, y, x, median(d) as med from ga group by all), gs as (select ax, clip, y, x, any_value(med) as med, median(abs(d - med)) * 1.4826 as mad from ga join gm using (ax, clip, y, x) group by ax, clip, y, x), gc as (select * from gs where abs(med) > 0.02 and abs(med) > 2 * mad), en as (select clip, y, x, med * med as s from gc union all select clip, y + ax, x + 1 - ax, med * med from gc) select clip, y, x, round(sum(s), 6) + 0.0 as energy from en group by all")
+def _(spark, d):
+    rows = frames.closed_form_frames(spark).select(F.col("c").alias("clip"), "t", "y", "x", "v")
+    return stencil.gradient_energy(rows, ["clip"]).select("clip", "y", "x", r6("energy"))
+
+
+for _r in (1, 2):
+
+    @query(f"local_range_r{_r}", f"with {PX} select a.clip, a.t, a.y, a.x, round(max(b.v) - min(b.v), 6) + 0.0 as span from px a join px b on a.clip = b.clip and a.t = b.t and abs(a.y - b.y) <= {_r} and abs(a.x - b.x) <= {_r} group by all")
+    def _(spark, d, r=_r):
+        return stencil.local_range(px(spark, d), ["clip", "t"], r).select("clip", "t", "y", "x", r6("span"))
+
+
+@query("dilate_mask", f"with {PX}, {MASK} select a.clip, a.t, a.y, a.x, max(b.m) as m from mk a join mk b on a.clip = b.clip and a.t = b.t and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 group by all")
+def _(spark, d):
+    return stencil.dilate(sign_mask(px(spark, d)), ["clip", "t"])
+
+
+@query("masked_median_3x3", f"with {PX} select a.clip, a.t, a.y, a.x, round(case when a.v >= 0 and count(b.v) >= 3 then median(b.v) else -1 end, 6) + 0.0 as v from px a left join px b on a.clip = b.clip and a.t = b.t and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and b.v >= 0 group by a.clip, a.t, a.y, a.x, a.v")
+def _(spark, d):
+    return stencil.masked_median(px(spark, d), ["clip", "t"]).select("clip", "t", "y", "x", r6("v"))
+
+
+@query("fill_distances", f"with {PX}, {MASK}, j as (select a.clip, a.t, a.y, a.x, a.m, min(case when b.y = a.y and b.x < a.x then a.x - b.x end) as l, min(case when b.y = a.y and b.x > a.x then b.x - a.x end) as r, min(case when b.x = a.x and b.y < a.y then a.y - b.y end) as u, min(case when b.x = a.x and b.y > a.y then b.y - a.y end) as d from mk a left join mk b on a.clip = b.clip and a.t = b.t and b.m = 0 and (a.y = b.y or a.x = b.x) group by all) select clip, t, y, x, m, case when m = 0 then 0 else coalesce(l, 255) end as dl, case when m = 0 then 0 else coalesce(r, 255) end as dr, case when m = 0 then 0 else coalesce(u, 255) end as du, case when m = 0 then 0 else coalesce(d, 255) end as dd from j")
+def _(spark, d):
+    return stencil.fill_distances(sign_mask(px(spark, d)), ["clip", "t"])
+
+
+@query("directional_nearest", f"with {PX}, {MASK}, j as (select a.clip, a.t, a.y, a.x, max(case when b.y = a.y and b.x < a.x then b.x end) as l, min(case when b.y = a.y and b.x > a.x then b.x end) as r, max(case when b.x = a.x and b.y < a.y then b.y end) as u, min(case when b.x = a.x and b.y > a.y then b.y end) as d from mk a left join mk b on a.clip = b.clip and a.t = b.t and b.m = 0 and (a.y = b.y or a.x = b.x) where a.m = 1 group by a.clip, a.t, a.y, a.x) select clip, t, y, x, coalesce(l, -1) as \"left\", coalesce(r, -1) as \"right\", coalesce(u, -1) as up, coalesce(d, -1) as down from j")
+def _(spark, d):
+    return stencil.directional_nearest(sign_mask(px(spark, d)), ["clip", "t"])
+
+
+@query("gaussian_blur_9x9", f"with {PX}, k as (select i as dy, j as dx, exp(-(i * i + j * j) / 10.0) as w from range(-4, 5) a(i), range(-4, 5) b(j)), tp as (select clip, t, y, x, least(7, greatest(0, y + dy)) as sy, least(7, greatest(0, x + dx)) as sx, w from px, k) select tp.clip, tp.t, tp.y, tp.x, round(sum(w * b.v) / sum(w), 6) + 0.0 as v from tp join px b on b.clip = tp.clip and b.t = tp.t and b.y = sy and b.x = sx group by all")
+def _(spark, d):
+    return stencil.weighted_blur(px(spark, d), ["clip", "t"], 8, 8).select("clip", "t", "y", "x", r6("v"))
+
+
+@query("pixelate", f"with {PX} select a.clip, a.t, a.y, a.x, round(b.v, 6) + 0.0 as v from px a join px b on a.clip = b.clip and a.t = b.t and b.y = least(7, (a.y // 3) * 3 + 1) and b.x = least(7, (a.x // 3) * 3 + 1)")
+def _(spark, d):
+    return stencil.pixelate(px(spark, d), ["clip", "t"], 3).select("clip", "t", "y", "x", r6("v"))
+
+
+# --- frame projections -----------------------------------------------------------------------------------
+@query("luminance", f"with {CF} select t, y, x, round(sum(b) / 765.0, 6) + 0.0 as lum from cf group by t, y, x")
+def _(spark, d):
+    return frames.luminance(frames.closed_form_frames(spark)).select("t", "y", "x", r6("lum"))
+
+
+@query("quantise", f"with {CF} select t, c, cast(sum(b) as bigint) as total, cast(min(b) as int) as lo, cast(max(b) as int) as hi from cf group by t, c")
+def _(spark, d):
+    return frames.closed_form_frames(spark).groupBy("t", "c").agg(F.sum("b").alias("total"), F.min("b").alias("lo"), F.max("b").alias("hi"))
+
+
+@query("frame_shift", f"with {PX} select a.clip, a.t, a.y, a.x, round(b.v, 6) + 0.0 as v from px a join px b on a.clip = b.clip and a.t = b.t and b.y = least(7, greatest(0, a.y - 1)) and b.x = least(7, greatest(0, a.x + 2))")
+def _(spark, d):
+    return frames.shift(px(spark, d), 8, 8, 2, -1, ["clip", "t"]).select("clip", "t", "y", "x", r6("v"))
+
+
+@query("frame_flip", f"with {PX} select clip, t, 7 - y as y, x, round(v, 6) + 0.0 as v from px")
+def _(spark, d):
+    return frames.flip(px(spark, d), 8).select("clip", "t", "y", "x", r6("v"))
+
+
+@query("region_extract", f"with {PX} select clip, t, y - 2 as y, x - 1 as x, round(v, 6) + 0.0 as v from px where x between 1 and 5 and y between 2 and 5")
+def _(spark, d):
+    return frames.region(px(spark, d), 1, 2, 5, 4).select("clip", "t", "y", "x", r6("v"))
+
+
+@query("unblend", f"with {CF} select t, y, x, c, round(greatest(0, least(1, (b / 255.0 - a) / (1 - least(a, 0.8)))), 6) + 0.0 as v, round(case when a <= 0 then 10000.0 else 1 / power(0.02 / (1 - a), 2) end, 6) + 0.0 as weight from cf where t < 2")
+def _(spark, d):
+    rows = frames.closed_form_frames(spark, n=2)
+    v = frames.unblend(F.col("v"), F.col("alpha"), F.col("alpha"), F.lit(False))
+    return rows.withColumns({"v": v, "weight": frames.base_weight(F.col("alpha"), F.lit(False))}).select("t", "y", "x", "c", r6("v"), r6("weight"))
+
+
+@query("distinct_frames", "select label as clip, min(vec_id) as t from embeddings group by label, embedding")
+def _(spark, d):
+    return frames.distinct_frames(read(spark, d, "embeddings"))
+
+
+@query("border_ring", f"with {PX} select clip, t, cast(count(*) as bigint) as n, round(avg(v), 6) + 0.0 as mean from px where x < 2 or x >= 6 or y < 2 or y >= 6 group by clip, t")
+def _(spark, d):
+    ring = (F.col("x") < 2) | (F.col("x") >= 6) | (F.col("y") < 2) | (F.col("y") >= 6)
+    return px(spark, d).where(ring).groupBy("clip", "t").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")).select("clip", "t", "n", r6("mean"))
+
+
+@query("fill_fraction", f"with {PX}, {MASK} select clip, t, round(case when sum(m) = 0 then 0 else sum(case when m = 1 and y < 4 then 1 else 0 end) / sum(m) end, 6) + 0.0 as fraction, (sum(m) > 0 and sum(case when m = 1 and y < 4 then 1 else 0 end) >= 0.5 * sum(m)) as dominated from mk group by clip, t")
+def _(spark, d):
+    got = sign_mask(px(spark, d)).groupBy("clip", "t").agg(F.sum("m").alias("n"), F.count_if((F.col("m") == 1) & (F.col("y") < 4)).alias("f"))
+    return got.select("clip", "t", F.round(F.when(F.col("n") == 0, 0.0).otherwise(F.col("f") / F.col("n")), 6).alias("fraction"), ((F.col("n") > 0) & (F.col("f") >= 0.5 * F.col("n"))).alias("dominated"))
+
+
+#: Milliseconds since 1970 of a time without zone, whatever zone the session has.
+MILLIS = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+
+
+# --- sequences ----------------------------------------------------------------------------------------------
+EV = "ev as (select *, epoch_us(ts) // 1000 as ms from events)"
+
+
+@query("sliding_chunks_8_3", "with n as (select user_id, count(*) as n from events group by user_id) select user_id, s as start, least(s + 8, n) as stop from (select user_id, n, unnest(range(0, n + 1, 3)) as s from n where n >= 6) where s + 6 <= n and (s = 0 or s + 5 < n)")
+def _(spark, d):
+    return sequence.chunks(read(spark, d, "events"), ["user_id"], ["ts"]).select("user_id", F.col("start").cast("long"), F.col("stop").cast("long"))
+
+
+@query("presence_split_gap", f"with {PX}, s as (select clip, t, round(max(v), 6) as score from px group by all), g as (select *, lead(score) over w - score as gap, count(*) over (partition by clip) - row_number() over w as above, max(score) over (partition by clip) as top from s window w as (partition by clip order by score)), b as (select clip, top, max(gap) as gap, arg_max(score, (gap, -score)) as cut from g where above >= 4 group by clip, top) select clip, case when top > 0 and gap > 0 and gap >= 0.4 * top and cut <= 0.3 * top then cut end as cut from b")
+def _(spark, d):
+    scores = px(spark, d).groupBy("clip", "t").agg(F.round(F.max("v"), 6).alias("score"))
+    return sequence.gap_split(scores, ["clip"])
+
+
+@query("hysteresis_presence", "with recursive e as (select user_id, event_id, (value % 100) / 100.0 as p, row_number() over (partition by user_id order by event_id) as k from events), w as (select user_id, event_id, k, greatest(0, least(1, (p - 0.35) / 0.20)) as s from e where k = 1 union all select e.user_id, e.event_id, e.k, greatest(0, least(1, case when w.s >= 0.5 then (e.p - 0.10) / 0.20 else (e.p - 0.35) / 0.20 end)) from w join e on e.user_id = w.user_id and e.k = w.k + 1) select user_id, event_id, round(s, 6) + 0.0 as strength, s >= 0.5 as present from w")
+def _(spark, d):
+    rows = read(spark, d, "events").withColumn("p", (F.col("value") % 100) / 100.0)
+    return sequence.hysteresis(rows, ["user_id"], ["event_id"], "p").select("user_id", "event_id", r6("strength"), "present")
+
+
+@query("running_motion_reset", "with s as (select *, sum(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id order by event_id) as scene from events) select user_id, event_id, round(sum(value) over (partition by user_id, scene order by event_id), 4) + 0.0 as total from s")
+def _(spark, d):
+    out = sequence.running_motion(read(spark, d, "events"), ["user_id"], ["event_id"], "value", F.col("event_type") == "purchase")
+    return out.select("user_id", "event_id", (F.round("total", 4) + F.lit(0.0)).alias("total"))
+
+
+@query("change_filter", "select user_id, event_id, event_type from (select *, lag(event_type) over w as was, row_number() over w as k from events window w as (partition by user_id order by event_id)) where k = 1 or event_type is distinct from was")
+def _(spark, d):
+    return sequence.change_filter(read(spark, d, "events"), ["user_id"], ["event_id"], "event_type").select("user_id", "event_id", "event_type")
+
+
+@query("debounce_last", f"with {EV} select user_id, event_id from (select *, lead(ms) over (partition by user_id order by ts, event_id) as nxt from ev) where nxt is null or nxt - ms >= 3600000")
+def _(spark, d):
+    return sequence.debounce(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], MILLIS, 3_600_000).select("user_id", "event_id")
+
+
+@query("frame_history", f"with {PX} select clip, t, y, x, round(lag(v, 1) over w, 6) + 0.0 as v_1, round(lag(v, 2) over w, 6) + 0.0 as v_2, round(lag(v, 3) over w, 6) + 0.0 as v_3 from px window w as (partition by clip, y, x order by t)")
+def _(spark, d):
+    return sequence.history(px(spark, d), ["clip", "y", "x"], ["t"], "v", 3).select("clip", "t", "y", "x", r6("v_1"), r6("v_2"), r6("v_3"))
+
+
+_COUNT_RULE = "case when d <= 0 then 16 when d < 4000 then 10 when d < 15000 then 16 when d < 60000 then 20 else 24 end"
+
+
+@query("sample_count_rule", f"select event_id, {_COUNT_RULE} as n from (select event_id, cast(floor(value * 200) as bigint) - 500 as d from events)")
+def _(spark, d):
+    return read(spark, d, "events").select("event_id", S.sample_count(F.floor(F.col("value") * 200) - 500).alias("n"))
+
+
+@query("sample_times", f"with {EV}, s as (select user_id, min(ms) as a, max(ms) as b, count(*) as n from ev group by user_id) select user_id, cast(k as int) as k, cast(floor(case when n = 1 then ((a + (b - a) * 0.05) + (a + (b - a) * 0.95)) / 2 else (a + (b - a) * 0.05) + ((a + (b - a) * 0.95) - (a + (b - a) * 0.05)) * k / (m - 1) end) as bigint) // 1000 as target from (select *, least(n, 16) as m from s), lateral (select unnest(range(0, m)) as k)")
+def _(spark, d):
+    spans = read(spark, d, "events").withColumn("ms", MILLIS).groupBy("user_id").agg(F.min("ms").alias("a"), F.max("ms").alias("b"), F.least(F.count(F.lit(1)), F.lit(16)).cast("int").alias("n"))
+    out = sequence.sample_times(spans, ["user_id"], F.col("a").cast("double"), F.col("b").cast("double"), F.col("n"))
+    return out.select("user_id", "k", F.floor(F.col("target") / 1000).alias("target"))
+
+
+@query("nearest_frame", f"with {EV}, tg as (select user_id, (min(ms) + max(ms)) // 2 as target from ev group by user_id) select tg.user_id, target, arg_min(ms, (abs(ms - target), ms)) as pts from tg join ev using (user_id) group by all")
+def _(spark, d):
+    ev = read(spark, d, "events").select("user_id", MILLIS.alias("pts"))
+    target = ev.groupBy("user_id").agg(F.expr("(min(pts) + max(pts)) div 2").alias("target"))
+    return frames.nearest_frames(target, ev, ["user_id"])
+
+
+# --- components ---------------------------------------------------------------------------------------------
+LABELS = f"{PX}, mc as (select clip, t, y, x, y * 8 + x as p from px where v > 0.05), rc(clip, t, y, x, lo) as (select clip, t, y, x, p from mc union select b.clip, b.t, b.y, b.x, rc.lo from rc join mc b on b.clip = rc.clip and b.t = rc.t and abs(b.y - rc.y) <= 1 and abs(b.x - rc.x) <= 1), lm as (select clip, t, y, x, min(lo) as lo from rc group by all), lb as (select clip, t, y, x, cast(dense_rank() over (partition by clip, t order by lo) as int) as label from lm)"
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    rows = px(spark, d).select("clip", "t", "y", "x", F.when(F.col("v") > 0.05, 1).otherwise(0).alias("m"))
+    return components.label_frames(rows, ["clip", "t"])
+
+
+@query("connected_components", f"with recursive {LABELS} select * from lb")
+def _(spark, d):
+    return labelled(spark, d)
+
+
+@query("remove_small", f"with recursive {LABELS} select clip, t, y, x, label from (select *, count(*) over (partition by clip, t, label) as n from lb) where n >= 6")
+def _(spark, d):
+    return components.remove_small(labelled(spark, d), ["clip", "t"], 6)
+
+
+_STATS = "st as (select clip, t, label, count(*) as size, cast(count(*) as double) as mass, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from lb group by all)"
+
+
+@query("component_stats", f"with recursive {LABELS}, {_STATS} select * from st")
+def _(spark, d):
+    return components.statistics(labelled(spark, d), ["clip", "t"])
+
+
+@query("topk_components", f"with recursive {LABELS}, {_STATS} select clip, t, label, mass, cast(rank as int) as rank from (select *, row_number() over (partition by clip, t order by mass desc, label) as rank, max(mass) over (partition by clip, t) as top from st where size >= 4 and mass > 0) where rank <= 3 and mass >= 0.05 * top")
+def _(spark, d):
+    return components.top_components(components.statistics(labelled(spark, d), ["clip", "t"]), ["clip", "t"], least=4).select("clip", "t", "label", "mass", "rank")
+
+
+# --- zones and rectangles -----------------------------------------------------------------------------------
+def part_rects(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    side = lambda a, m: ((k * a) % m).cast("double") / m
+    return read(spark, d, "part").select("p_partkey", S.rect(side(7, 101) * 1.2 - 0.1, side(13, 89), side(31, 97), side(17, 83)).alias("r"))
+
+
+_RAW = "raw as (select p_partkey as k, cast((p_partkey * 7) % 101 as double) / 101 * 1.2 - 0.1 as l, cast((p_partkey * 13) % 89 as double) / 89 as t, cast((p_partkey * 31) % 97 as double) / 97 as r, cast((p_partkey * 17) % 83 as double) / 83 as b from part)"
+_SAN = f"{_RAW}, s1 as (select k, greatest(0, least(1, least(l, r))) as l, greatest(0, least(1, least(t, b))) as t, greatest(0, least(1, greatest(l, r))) as r, greatest(0, least(1, greatest(t, b))) as b from raw), san as (select k, l, t, case when r - l < 0.02 then least(1, l + 0.02) else r end as r, case when b - t < 0.02 then least(1, t + 0.02) else b end as b from s1)"
+
+
+def rect_columns(c: str):
+    return [(F.round(F.col(f"{c}.{x}"), 6) + F.lit(0.0)).alias(x) for x in ("left", "top", "right", "bottom")]
+
+
+def _rect_sql(left: str, t: str, r: str, b: str) -> str:
+    return f'round({left}, 6) + 0.0 as "left", round({t}, 6) + 0.0 as top, round({r}, 6) + 0.0 as "right", round({b}, 6) + 0.0 as bottom'
+
+
+def sane_rects(spark: SparkSession, d: str) -> DataFrame:
+    return part_rects(spark, d).withColumn("r", S.rect_sanitized(F.col("r")))
+
+
+@query("rect_sanitize", f"with {_SAN} select k as p_partkey, {_rect_sql('l', 't', 'r', 'b')} from san")
+def _(spark, d):
+    return sane_rects(spark, d).select("p_partkey", *rect_columns("r"))
+
+
+@query("rect_translate", f"with {_SAN}, m as (select *, case when 1 - r < -l then -l else greatest(-l, least(1 - r, 0.3)) end as dx, case when 1 - b < -t then -t else greatest(-t, least(1 - b, -0.2)) end as dy from san) select k as p_partkey, {_rect_sql('l + dx', 't + dy', 'r + dx', 'b + dy')} from m")
+def _(spark, d):
+    return sane_rects(spark, d).withColumn("r", S.rect_translated(F.col("r"), F.lit(0.3), F.lit(-0.2))).select("p_partkey", *rect_columns("r"))
+
+
+@query("rect_resize", f"with {_SAN} select k as p_partkey, {_rect_sql('case when k % 2 = 0 then greatest(0, least(r - 0.02, l + 0.1)) else l end', 'case when k % 4 < 2 then greatest(0, least(b - 0.02, t - 0.05)) else t end', 'case when k % 2 = 1 then greatest(l + 0.02, least(1, r + 0.1)) else r end', 'case when k % 4 >= 2 then greatest(t + 0.02, least(1, b - 0.05)) else b end')} from san where l <= 0.98 and t <= 0.98")
+def _(spark, d):
+    k = F.col("p_partkey")
+    corner = F.concat(F.when(k % 4 < 2, "TOP").otherwise("BOTTOM"), F.when(k % 2 == 0, "_LEFT").otherwise("_RIGHT"))
+    rows = sane_rects(spark, d).where("r.left <= 0.98 and r.top <= 0.98")
+    return rows.withColumn("r", S.rect_resized(F.col("r"), corner, F.lit(0.1), F.lit(-0.05))).select("p_partkey", *rect_columns("r"))
+
+
+@query("crop_rect", f"with {_SAN}, c as (select *, list_position([t, 1 - b, l, 1 - r], greatest(t, 1 - b, l, 1 - r)) as w from san) select k as p_partkey, {_rect_sql('case when w = 4 then r else 0 end', 'case when w = 2 then b else 0 end', 'case when w = 3 then l else 1 end', 'case when w = 1 then t else 1 end')} from c")
+def _(spark, d):
+    return sane_rects(spark, d).withColumn("r", S.crop_excluding(F.col("r"))).select("p_partkey", *rect_columns("r"))
+
+
+@query("ndc_crop", f"with {_SAN} select k as p_partkey, {_rect_sql('l * 2 - 1', '1 - t * 2', 'r * 2 - 1', '1 - b * 2')} from san")
+def _(spark, d):
+    return sane_rects(spark, d).withColumn("r", S.to_ndc(F.col("r"))).select("p_partkey", *rect_columns("r"))
+
+
+@query("even_size", f"with {_SAN}, n as (select k, greatest(2, cast(floor(1921 * (r - l)) as int)) as w, greatest(2, cast(floor(1079 * (b - t)) as int)) as h from san) select k as p_partkey, w - w % 2 as width, h - h % 2 as height from n")
+def _(spark, d):
+    r = F.col("r")
+    return sane_rects(spark, d).select("p_partkey", S.even_size(F.lit(1921), r.right - r.left).alias("width"), S.even_size(F.lit(1079), r.bottom - r.top).alias("height"))
+
+
+def _region_sql(margin: int) -> str:
+    return f"{{'l': greatest(0, cast(floor(l * 1920 + 0.5) as int) - {margin}), 't': greatest(0, cast(floor(t * 1080 + 0.5) as int) - {margin}), 'r': least(1920, cast(floor(r * 1920 + 0.5) as int) + {margin}), 'b': least(1080, cast(floor(b * 1080 + 0.5) as int) + {margin})}}"
+
+
+@query("region_of_zone", f"with {_SAN}, m as (select k, {_region_sql(28)} as a, {_region_sql(14)} as c, {_region_sql(8)} as e from san), p as (select k, case when greatest(1, a.r - a.l) * greatest(1, a.b - a.t) <= 800000 then a when greatest(1, c.r - c.l) * greatest(1, c.b - c.t) <= 800000 then c else e end as z from m) select k as p_partkey, z.l as \"left\", z.t as top, greatest(1, z.r - z.l) as width, greatest(1, z.b - z.t) as height from p")
+def _(spark, d):
+    return sane_rects(spark, d).select("p_partkey", S.region_of(F.col("r"), F.lit(1920), F.lit(1080)).alias("z")).select("p_partkey", "z.left", "z.top", "z.width", "z.height")
+
+
+@query("zone_hit", f"with {_SAN} select k as p_partkey, 0.5 between l and r and 0.4 between t and b as hit from san")
+def _(spark, d):
+    return sane_rects(spark, d).select("p_partkey", S.rect_contains(F.col("r"), F.lit(0.5), F.lit(0.4)).alias("hit"))
+
+
+@query("zone_uniforms", f"with {_SAN}, z as (select *, row_number() over (partition by k % 10 order by k) as n from san) select k as p_partkey, {_rect_sql('l', '1 - b', 'r', '1 - t')} from z where n <= 6")
+def _(spark, d):
+    rows = zones.first_zones(sane_rects(spark, d).withColumns({"g": F.col("p_partkey") % 10, "pos": F.col("p_partkey")}), ["g"])
+    r = F.col("r")
+    return rows.withColumn("r", S.rect(r.left, 1 - r.bottom, r.right, 1 - r.top)).select("p_partkey", *rect_columns("r"))
+
+
+@query("atlas_packing", "with l as (select p_partkey % 50 as g, p_partkey as pos, case when p_size % 7 <> 0 then p_size * 3 + 1 end as w, p_size + 2 as h from part) select g, pos, w as width, h as height, coalesce(cast(sum(h) over (partition by g order by pos rows between unbounded preceding and 1 preceding) as bigint), 0) as atlas_row, max(w) over (partition by g) as atlas_width, cast(sum(h) over (partition by g) as bigint) as atlas_height from l where w is not null")
+def _(spark, d):
+    rows = read(spark, d, "part").select((F.col("p_partkey") % 50).alias("g"), F.col("p_partkey").alias("pos"), F.when(F.col("p_size") % 7 != 0, F.col("p_size") * 3 + 1).alias("width"), (F.col("p_size") + 2).alias("height"))
+    return zones.atlas(rows, ["g"])
+
+
+_REG = "zn as (select p_partkey as zone_id from part), rg as (select p_partkey // 2 as zone_id, p_partkey as pos, p_size as \"left\", p_size + 1 as top, p_size + 2 as width, p_size + 3 as height, p_size % 3 as mask_pixels from part)"
+
+
+def region_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    part = read(spark, d, "part")
+    s = F.col("p_size")
+    return part.select(F.col("p_partkey").alias("zone_id")), part.select(F.floor(F.col("p_partkey") / 2).alias("zone_id"), F.col("p_partkey").alias("pos"), s.alias("left"), (s + 1).alias("top"), (s + 2).alias("width"), (s + 3).alias("height"), (s % 3).alias("mask_pixels"))
+
+
+@query("zone_lookup_default", f"with {_REG}, f as (select zone_id, arg_min({{'l': \"left\", 't': top, 'w': width, 'h': height}}, pos) as r from rg where mask_pixels > 0 group by zone_id) select zone_id, coalesce(r.l, 0) as \"left\", coalesce(r.t, 0) as top, coalesce(r.w, 0) as width, coalesce(r.h, 0) as height from zn left join f using (zone_id)")
+def _(spark, d):
+    return zones.lookup(*region_rows(spark, d))
+
+
+@query("remaining_zones", f"with {_REG} select zone_id from zn where zone_id not in (select zone_id from rg where mask_pixels > 0)")
+def _(spark, d):
+    return zones.remaining(*region_rows(spark, d))
+
+
+@query("positional_join", "with a as (select row_number() over (order by p_partkey) - 1 as pos, p_partkey as zone_id from part where p_size > 20), b as (select row_number() over (order by s_suppkey) - 1 as pos, s_suppkey as layer_id from supplier) select pos, zone_id, layer_id from a join b using (pos)")
+def _(spark, d):
+    def placed(rows: DataFrame, key: str, alias: str) -> DataFrame:
+        one = rows.groupBy().agg(F.array_sort(F.collect_list(key)).alias("ids"))  # a zone list is a user's own and small
+        return one.select(F.posexplode("ids").alias("pos", alias)).select(F.col("pos").cast("long"), alias)
+
+    return zones.positional(placed(read(spark, d, "part").where("p_size > 20"), "p_partkey", "zone_id"), placed(read(spark, d, "supplier"), "s_suppkey", "layer_id"))
+
+
+@query("feather_units", "select p_partkey, round(case when p_size % 2 = 0 then 2.5 else (p_size / 50.0) * 0.03 * least(p_size * 40, 1080) end / greatest(p_size * 40, 1080), 6) + 0.0 as feather from part")
+def _(spark, d):
+    s = F.col("p_size")
+    return read(spark, d, "part").select("p_partkey", S.feather_units(s % 2 == 0, s / 50.0, s * 40, F.lit(1080)).alias("feather")).select("p_partkey", r6("feather"))
+
+
+@query("target_bitrate", "select p_partkey, cast(greatest(2000000, least(120000000, greatest(floor(cast(p_size * 80 as bigint) * (p_size * 45) * 0.30 * case when p_size % 5 > 1 then 24.0 * (p_size % 5) else 30.0 end), floor(p_size * 100000 * 2.0)))) as int) as bitrate from part")
+def _(spark, d):
+    s = F.col("p_size")
+    fps = F.when(s % 5 > 1, 24.0 * (s % 5)).otherwise(1.0)
+    return read(spark, d, "part").select("p_partkey", S.target_bitrate(s * 80, s * 45, fps, s * 100000).alias("bitrate"))
+
+
+@query("derived_bitrate", "select o_orderkey, case when o_orderkey % 3 = 0 then o_orderkey when o_orderkey % 5 > 0 then least(cast(floor(o_totalprice) as bigint) * 8000 // (o_orderkey % 5 * 1000), 2147483647) else 0 end as bitrate from orders")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    return read(spark, d, "orders").select("o_orderkey", S.bitrate_or_derived(F.when(k % 3 == 0, k).otherwise(0), F.floor("o_totalprice"), k % 5 * 1000).cast("long").alias("bitrate"))
+
+
+@query("display_size", "select p_partkey, case when ((p_size * 90 - 360) % 360 + 360) % 360 % 180 <> 0 then 1080 else 1920 end as width, case when ((p_size * 90 - 360) % 360 + 360) % 360 % 180 <> 0 then 1920 else 1080 end as height from part")
+def _(spark, d):
+    return read(spark, d, "part").select("p_partkey", S.display_size(F.lit(1920), F.lit(1080), F.col("p_size") * 90 - 360).alias("z")).select("p_partkey", "z.width", "z.height")
+
+
+@query("weight_codec", "select p_partkey, b, round(case when b = 0 then 0 else power(10.0, b / 32.0) end, 4) + 0.0 as w from (select p_partkey, cast(case when p_retailprice - 1000 <= 1 then 0 else greatest(1, least(255, floor(32 * log10(p_retailprice - 1000) + 0.5))) end as int) as b from part)")
+def _(spark, d):
+    rows = read(spark, d, "part").select("p_partkey", S.encode_weight(F.col("p_retailprice") - 1000).alias("b"))
+    return rows.select("p_partkey", "b", (F.round(S.decode_weight(F.col("b")), 4) + F.lit(0.0)).alias("w"))
+
+
+@query("parabolic_peak", f"with {PX}, p as (select clip, t, y, x, lag(v) over w as a, v as b, lead(v) over w as c from px window w as (partition by clip, t, y order by x)) select clip, t, y, x, round(case when abs(a - 2 * b + c) < 1e-9 then 0 else greatest(-0.5, least(0.5, 0.5 * (a - c) / (a - 2 * b + c))) end, 5) + 0.0 as peak from p where a is not null and c is not null")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("clip", "t", "y").orderBy("x")
+    rows = px(spark, d).withColumns({"a": F.lag("v").over(w), "c": F.lead("v").over(w)}).where("a is not null and c is not null")
+    return rows.select("clip", "t", "y", "x", (F.round(S.parabolic_offset(F.col("a"), F.col("v"), F.col("c")), 5) + F.lit(0.0)).alias("peak"))
+
+
+@query("method_resolution", "select p_partkey, case when m = 'INPAINT' and p_size % 2 = 0 then 3 when m = 'BLUR' then 1 when m = 'PIXELATE' then 2 else 0 end as method_id from (select *, ['INPAINT', 'BLUR', 'PIXELATE', 'CROP'][p_partkey % 4 + 1] as m from part)")
+def _(spark, d):
+    m = F.get(F.array(*map(F.lit, library.METHODS)), (F.col("p_partkey") % 4).cast("int"))
+    return read(spark, d, "part").select("p_partkey", S.method_id(m, F.col("p_size") % 2 == 0).alias("method_id"))
+
+
+# --- names, versions, library --------------------------------------------------------------------------------
+_HOSTILE = "['../../', '', '..', 'a/b:', '.', ' ']"
+
+
+@query("sanitize_name", f"with n as (select p_partkey, concat({_HOSTILE}[p_partkey % 6 + 1], p_name, '.', ['mp4', 'MOV', 'x y'][p_partkey % 3 + 1]) as s from part), a as (select p_partkey, trim(replace(regexp_replace(regexp_replace(s, '\\.[^.]*$', ''), '[\\\\/:*?\"<>|\\x00-\\x1F]', '', 'g'), '..', '')) as s from n), b as (select p_partkey, trim(left(ltrim(s, '.'), 96)) as s from a) select p_partkey, concat(case when s = '' then 'video' else s end, '_restored.mp4') as name from b")
+def _(spark, d):
+    k = F.col("p_partkey")
+    pick = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (k % n).cast("int"))
+    name = F.concat(pick(["../../", "", "..", "a/b:", ".", " "], 6), F.col("p_name"), F.lit("."), pick(["mp4", "MOV", "x y"], 3))
+    return read(spark, d, "part").select("p_partkey", S.display_name(name).alias("name"))
+
+
+@query("safe_version", "select p_partkey, case when v = '' then 'update' else v end as v from (select p_partkey, trim(left(trim(regexp_replace(regexp_replace(regexp_replace(s, '^v', ''), '[^0-9.]', '', 'g'), '\\.+', '.', 'g'), '.'), 32), '.') as v from (select p_partkey, concat(['v', '../', '', '..x'][p_partkey % 4 + 1], case when p_partkey % 7 = 0 then 'beta' else concat(p_size, '..', p_partkey, '-rc', p_size) end) as s from part))")
+def _(spark, d):
+    k = F.col("p_partkey")
+    s = F.concat(F.get(F.array(*map(F.lit, ["v", "../", "", "..x"])), (k % 4).cast("int")), F.when(k % 7 == 0, "beta").otherwise(F.concat(F.col("p_size").cast("string"), F.lit(".."), k.cast("string"), F.lit("-rc"), F.col("p_size").cast("string"))))
+    return read(spark, d, "part").select("p_partkey", S.safe_version(s).alias("v"))
+
+
+@query("is_newer", "with v as (select p_partkey, [p_size % 4, p_partkey % 11, p_size % 3] as a, case when p_partkey % 2 = 0 then [p_partkey % 4, p_size % 11] else [p_partkey % 4, p_size % 11, 1] end as b from part), c as (select p_partkey, list_filter(list_transform([1, 2, 3], lambda i: sign(coalesce(a[i], 0) - coalesce(b[i], 0))), lambda s: s <> 0) as d from v) select p_partkey, coalesce(d[1] > 0, false) as newer from c")
+def _(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    text = lambda *xs: F.concat_ws(".", *(x.cast("string") for x in xs))
+    a = F.concat(F.lit("v"), text(s % 4, k % 11, s % 3), F.lit("-debug"))
+    b = F.when(k % 2 == 0, text(k % 4, s % 11)).otherwise(text(k % 4, s % 11, F.lit(1)))
+    return read(spark, d, "part").select("p_partkey", S.is_newer(a, b).alias("newer"))
+
+
+@query("duration_format", "select o_orderkey, concat(lpad(cast(cast(floor(o_totalprice) as bigint) // 60 as varchar), cast(greatest(2, length(cast(cast(floor(o_totalprice) as bigint) // 60 as varchar))) as int), '0'), ':', lpad(cast(cast(floor(o_totalprice) as bigint) % 60 as varchar), 2, '0')) as text from orders where o_totalprice < 6000")
+def _(spark, d):
+    return read(spark, d, "orders").where("o_totalprice < 6000").select("o_orderkey", S.duration_text(F.floor("o_totalprice") * 1000).alias("text"))
+
+
+@query("trusted_url", "select page_id, starts_with(url, 'https://') and lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) = 'blog.therhe.example.org' as trusted from pages")
+def _(spark, d):
+    return read(spark, d, "pages").select("page_id", S.trusted_url(F.col("url"), "blog.therhe.example.org").alias("trusted"))
+
+
+@query("url_digest", "select page_id, sha256(url) as digest from pages")
+def _(spark, d):
+    return read(spark, d, "pages").select("page_id", F.sha2("url", 256).alias("digest"))
+
+
+def index_items(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return read(spark, d, "orders").select(
+        k.cast("long").alias("id"), F.concat(F.lit("content://v/"), k).alias("uri"), F.concat(F.lit("clip"), k, F.lit(".mp4")).alias("name"), F.lit("src.mp4").alias("source"),
+        (k * 7919 % 100003).cast("long").alias("createdAt"), F.floor("o_totalprice").cast("long").alias("durationMs"), F.lit(1920).alias("width"), F.lit(1080).alias("height"),
+        (k * 1000).cast("long").alias("size"), F.get(F.array(*map(F.lit, [*library.METHODS, "LASER"])), (k % 5).cast("int")).alias("method"), (k % 6).cast("int").alias("zones"), F.when(k % 2 == 0, F.concat(F.lit("t"), k)).alias("thumb"),
+    )
+
+
+_ITEMS = "it as (select o_orderkey as id, concat('content://v/', o_orderkey) as uri, concat('clip', o_orderkey, '.mp4') as name, o_orderkey * 7919 % 100003 as createdAt, cast(floor(o_totalprice) as bigint) as durationMs, o_orderkey * 1000 as size, ['INPAINT', 'BLUR', 'PIXELATE', 'CROP', 'INPAINT'][o_orderkey % 5 + 1] as method, cast(o_orderkey % 6 as int) as zones, case when o_orderkey % 2 = 0 then concat('t', o_orderkey) end as thumb from orders)"
+
+
+@query("library_roundtrip", f"with {_ITEMS} select id, uri, name, createdAt, durationMs, size, method, zones, thumb from it where id % 9 <> 0")
+def _(spark, d):
+    rows = library.encode(index_items(spark, d))
+    # Every ninth entry lacks its uri and must drop out.
+    broken = rows.withColumn("json", F.when(F.col("id") % 9 == 0, '{"foo":"bar"}').otherwise(F.col("json")))
+    text = broken.select(F.concat(F.lit('{"version":1,"items":['), "json", F.lit("]}")).alias("value"))
+    return library.decode(text, "value").select("id", "uri", "name", "createdAt", "durationMs", "size", "method", "zones", "thumb")
+
+
+@query("library_prune", f"with {_ITEMS} select id, uri from it where id % 3 = 0")
+def _(spark, d):
+    items = index_items(spark, d)
+    return library.prune(items, items.where("id % 3 = 0").select("uri")).select("id", "uri")
+
+
+@query("library_pruned", f"with {_ITEMS} select id, uri from it where id % 3 <> 0")
+def _(spark, d):
+    items = index_items(spark, d)
+    return library.pruned(items, items.where("id % 3 = 0").select("uri")).select("id", "uri")
+
+
+@query("library_upsert", f"with {_ITEMS} select id, case when id % 10 = 0 then 'new.mp4' else name end as name from it")
+def _(spark, d):
+    items = index_items(spark, d)
+    new = items.where("id % 10 = 0").withColumn("name", F.lit("new.mp4"))
+    return library.upsert(items, new).select("id", "name")
+
+
+@query("library_rename", f"with {_ITEMS} select id, case when id % 4 = 0 then concat('renamed', id, '.mp4') else name end as name from it")
+def _(spark, d):
+    name = F.concat(S.safe_name(F.concat(F.lit("../renamed"), F.col("id"), F.lit(".mov"))), F.lit(".mp4"))
+    return library.rename(index_items(spark, d), F.col("id") % 4 == 0, name).select("id", "name")
+
+
+@query("library_recent", f"with {_ITEMS} select id, createdAt from it order by createdAt desc, id desc limit 8")
+def _(spark, d):
+    return library.recent(index_items(spark, d)).select("id", "createdAt")
+
+
+@query("library_totals", f"with {_ITEMS} select method, count(*) as n, cast(sum(size) as bigint) as total from it group by method")
+def _(spark, d):
+    return library.with_defaults(index_items(spark, d)).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+
+
+@query("library_caption", f"with {_ITEMS} select id, concat_ws(' • ', nullif(thumb, ''), case when zones > 0 then concat(zones, '×', zones * 2) end) as caption from it")
+def _(spark, d):
+    return index_items(spark, d).select("id", S.caption(F.col("zones"), F.col("zones") * 2, F.col("thumb")).alias("caption"))
