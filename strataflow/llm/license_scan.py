@@ -68,13 +68,13 @@ def required(text: str, percent: int = PERCENT) -> list[str]:
 
 
 def with_shingles(rows: DataFrame) -> DataFrame:
-    """rows(.., text) -> rows(.., h): the hashes of all 5-word windows in order; texts under five words
-    drop out. Words and hashes are projected one after the other: an expression inlined into a
-    lambda would be computed anew for each element."""
+    """rows(.., text) -> rows(.., h): the hashes of all 5-word windows in order; null under five words.
+    Words and hashes are projected one after the other, and no filter tests them: an expression that the
+    optimizer inlines into a lambda would be computed anew for each element."""
     keys = [c for c in rows.columns if c != "text"]
     words = F.filter(F.split(F.translate("text", _UPPER, _LOW), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    cut = rows.select(*keys, words.alias("words")).where(F.size("words") >= K)
-    at = F.sequence(F.lit(1), F.size("words") - (K - 1))
+    cut = rows.select(*keys, words.alias("words"))
+    at = F.when(F.size("words") >= K, F.sequence(F.lit(1), F.size("words") - (K - 1)))
     return cut.select(*keys, F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("words", i, K), " "))).alias("h"))
 
 
@@ -108,12 +108,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percen
     known = _template_rows(spark, templates).collect()
     sizes = sorted({r.m for r in known})
     grams = F.array(*(F.lit(x) for x in sorted({x for r in known for x in r.t_set})))
-    lower = F.translate("text", _UPPER, _LOW)
     words = sorted({w for v in templates.values() for w in required(v, percent)})
-    likely = docs.select("doc_id", "text").where(F.lit(False) if not words else F.lit(True) if "" in words else _any([lower.contains(w) for w in words]))
+    # One pass over the text for all words: functions that change case cost more than the search.
+    start = "\\b" if all(w[:1].isalnum() and w.isascii() for w in words) else ""
+    pattern = f"(?i){start}(?:" + "|".join(re.sub("([^a-z0-9])", r"\\\1", w) for w in words) + ")"
+    likely = docs.select("doc_id", "text").where(F.lit(False) if not words else F.lit(True) if "" in words else F.col("text").rlike(pattern))
     hashed = with_shingles(likely.select("doc_id", F.xxhash64("text").alias("_t"), "text"))
     marked = F.transform("h", lambda x, i: F.when(F.array_contains(grams, x), i))
-    hits = hashed.select("doc_id", "_t", "h", F.filter(marked, lambda i: i.isNotNull()).alias("hits")).where(F.size("hits") > 0)
+    hits = hashed.select("doc_id", "_t", "h", F.filter(marked, lambda i: i.isNotNull()).alias("hits"))
     windows = hits.select("doc_id", "_t", "h", F.explode(F.flatten(F.array(*(_window_starts(m) for m in sizes)))).alias("w")).where("w.start < size(h)")
     windows = windows.select("doc_id", "_t", "w.m", "w.start", F.array_distinct(F.slice("h", F.col("w.start") + 1, F.col("w.size"))).alias("window"))
     banded = windows.select("*", F.posexplode(minhashes(F.col("window"))).alias("band", "mark"))
@@ -126,13 +128,6 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percen
     return best.select("doc_id", "template_id", F.col("best.c").alias("containment"), (-F.col("best.s")).cast("long").alias("start_word"))
 
 
-def _any(tests: list[Column]) -> Column:
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return out
-
-
 def oracle(templates: dict[str, str] = TEMPLATES, percent: int = PERCENT) -> str:
     """The same result in DuckDB SQL, by exact containment of every window."""
     rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(templates.items()))
