@@ -54,7 +54,7 @@ def is_newer(candidate: Column, current: Column) -> Column:
 def duration_text(ms: Column) -> Column:
     """mm:ss with unbounded minutes; negative durations count as 0."""
     s = F.floor(F.greatest(ms, F.lit(0)) / 1000)
-    return F.concat(F.lpad(F.floor(s / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
+    return F.concat(F.format_string("%02d", F.floor(s / 60)), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
 
 
 def trusted_url(url: Column, host: str = "github.com") -> Column:
@@ -202,3 +202,16 @@ def caption(width: Column, height: Column, *parts: Column) -> Column:
     """Parts that aren't blank and the size where it is known, joined by a bullet."""
     size = F.when(width > 0, F.concat(width.cast("string"), F.lit("×"), height.cast("string")))
     return F.concat_ws(" • ", *(F.nullif(p, F.lit("")) for p in parts), size)
+
+
+def rect_distance(x: Column, y: Column, r: Column) -> Column:
+    """Signed distance to a rectangle, negative inside."""
+    dx, dy = F.greatest(r.left - x, x - r.right), F.greatest(r.top - y, y - r.bottom)
+    outside = F.sqrt(F.pow(F.greatest(dx, F.lit(0.0)), 2) + F.pow(F.greatest(dy, F.lit(0.0)), 2))
+    return outside + F.least(F.greatest(dx, dy), F.lit(0.0))
+
+
+def feather_mix(distance: Column, feather: float) -> Column:
+    """1 inside, falling smoothly to 0 at the feather's width."""
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), distance / feather))
+    return 1 - t * t * (3 - 2 * t)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import components, frames, sequence, stats, stencil, zones
+from ..operators import components, frames, layers, sequence, solvers, stats, stencil, zones
 from ..sources import library
+from ..sources.tables import read, ship
+from ..streaming import restore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,10 +36,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def px(spark: SparkSession, d: str) -> DataFrame:
     return frames.embedding_frames(read(spark, d, "embeddings"))
 
@@ -267,8 +265,9 @@ def _(spark, d):
     return got.select("clip", "t", F.round(F.when(F.col("n") == 0, 0.0).otherwise(F.col("f") / F.col("n")), 6).alias("fraction"), ((F.col("n") > 0) & (F.col("f") >= 0.5 * F.col("n"))).alias("dominated"))
 
 
-#: Milliseconds since 1970 of a time without zone, whatever zone the session has.
-MILLIS = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+def millis() -> Column:
+    """Milliseconds since 1970 of a time without zone, whatever zone the session has."""
+    return F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
 
 
 # --- sequences ----------------------------------------------------------------------------------------------
@@ -305,7 +304,7 @@ def _(spark, d):
 
 @query("debounce_last", f"with {EV} select user_id, event_id from (select *, lead(ms) over (partition by user_id order by ts, event_id) as nxt from ev) where nxt is null or nxt - ms >= 3600000")
 def _(spark, d):
-    return sequence.debounce(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], MILLIS, 3_600_000).select("user_id", "event_id")
+    return sequence.debounce(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], millis(), 3_600_000).select("user_id", "event_id")
 
 
 @query("frame_history", f"with {PX} select clip, t, y, x, round(lag(v, 1) over w, 6) + 0.0 as v_1, round(lag(v, 2) over w, 6) + 0.0 as v_2, round(lag(v, 3) over w, 6) + 0.0 as v_3 from px window w as (partition by clip, y, x order by t)")
@@ -323,14 +322,14 @@ def _(spark, d):
 
 @query("sample_times", f"with {EV}, s as (select user_id, min(ms) as a, max(ms) as b, count(*) as n from ev group by user_id) select user_id, cast(k as int) as k, cast(floor(case when n = 1 then ((a + (b - a) * 0.05) + (a + (b - a) * 0.95)) / 2 else (a + (b - a) * 0.05) + ((a + (b - a) * 0.95) - (a + (b - a) * 0.05)) * k / (m - 1) end) as bigint) // 1000 as target from (select *, least(n, 16) as m from s), lateral (select unnest(range(0, m)) as k)")
 def _(spark, d):
-    spans = read(spark, d, "events").withColumn("ms", MILLIS).groupBy("user_id").agg(F.min("ms").alias("a"), F.max("ms").alias("b"), F.least(F.count(F.lit(1)), F.lit(16)).cast("int").alias("n"))
+    spans = read(spark, d, "events").withColumn("ms", millis()).groupBy("user_id").agg(F.min("ms").alias("a"), F.max("ms").alias("b"), F.least(F.count(F.lit(1)), F.lit(16)).cast("int").alias("n"))
     out = sequence.sample_times(spans, ["user_id"], F.col("a").cast("double"), F.col("b").cast("double"), F.col("n"))
     return out.select("user_id", "k", F.floor(F.col("target") / 1000).alias("target"))
 
 
 @query("nearest_frame", f"with {EV}, tg as (select user_id, (min(ms) + max(ms)) // 2 as target from ev group by user_id) select tg.user_id, target, arg_min(ms, (abs(ms - target), ms)) as pts from tg join ev using (user_id) group by all")
 def _(spark, d):
-    ev = read(spark, d, "events").select("user_id", MILLIS.alias("pts"))
+    ev = read(spark, d, "events").select("user_id", millis().alias("pts"))
     target = ev.groupBy("user_id").agg(F.expr("(min(pts) + max(pts)) div 2").alias("target"))
     return frames.nearest_frames(target, ev, ["user_id"])
 
@@ -626,3 +625,125 @@ def _(spark, d):
 @query("library_caption", f"with {_ITEMS} select id, concat_ws(' • ', nullif(thumb, ''), case when zones > 0 then concat(zones, '×', zones * 2) end) as caption from it")
 def _(spark, d):
     return index_items(spark, d).select("id", S.caption(F.col("zones"), F.col("zones") * 2, F.col("thumb")).alias("caption"))
+
+
+# --- spatial rules and solvers --------------------------------------------------------------------------------
+@query("zone_feather", f"with {PX}, u as (select *, (x + 0.5) / 8 as ux, (y + 0.5) / 8 as uy from px), e as (select *, greatest(0.25 - ux, ux - 0.625) as dx, greatest(0.25 - uy, uy - 0.5) as dy from u), s as (select *, sqrt(power(greatest(dx, 0), 2) + power(greatest(dy, 0), 2)) + least(greatest(dx, dy), 0) as dist from e), m as (select *, greatest(0, least(1, dist / 0.2)) as k from s) select clip, t, y, x, {q6('dist')}, round(v * (k * k * (3 - 2 * k)), 6) + 0.0 as v from m")
+def _(spark, d):
+    zone = S.rect(F.lit(0.25), F.lit(0.25), F.lit(0.625), F.lit(0.5))
+    rows = px(spark, d).withColumn("dist", S.rect_distance((F.col("x") + 0.5) / 8, (F.col("y") + 0.5) / 8, zone))
+    return rows.withColumn("v", F.col("v") * (1 - S.feather_mix(F.col("dist"), 0.2))).select("clip", "t", "y", "x", r6("dist"), r6("v"))
+
+
+def fixture_pixels(spark: SparkSession, n: int = 16) -> DataFrame:
+    """Two clips of the closed-form frames, one under a translucent and one under an opaque overlay."""
+    ship(spark)
+    clips = [frames.closed_form_frames(spark, n=n, alpha=a).select(F.lit(name).alias("video_id"), "t", "y", "x", "c", "b") for name, a in (("opaque", 1.0), ("translucent", 0.6))]
+    return clips[0].unionByName(clips[1])
+
+
+@query("layer_analyze")
+def _(spark, d):
+    return layers.estimate_layers(fixture_pixels(spark), ["video_id"]).select("video_id", "y", "x", F.round("alpha", 3).alias("alpha"), "fill", "dl", "dr", "du", "dd", "reason", "present", "components")
+
+
+def packed(pixels: DataFrame) -> DataFrame:
+    """video_id, pts_us, rgb: pixels as one binary frame each, row-major and interleaved."""
+    at = (F.col("y") * 96 + F.col("x")) * 3 + F.col("c")
+    ordered = F.array_sort(F.collect_list(F.struct(at.alias("p"), "b")))
+    rgb = F.unhex(F.array_join(F.transform(ordered, lambda e: F.lpad(F.hex(e.b), 2, "0")), ""))
+    return pixels.groupBy("video_id", (F.col("t").cast("long") * 33_333).alias("pts_us")).agg(rgb.alias("rgb"))
+
+
+def known_layer(alpha: float = 0.6) -> layers.Layer:
+    import numpy as np
+
+    y, x = np.mgrid[0:48, 0:96]
+    over = ((x >= 20) & (x <= 40) & (y >= 14) & (y <= 34)) | ((x >= 50) & (x <= 80) & (y >= 22) & (y <= 28))
+    a = over * alpha
+    return layers.Layer(np.repeat(a[..., None], 3, -1), a, over & (alpha > layers.INVERT), "ok", 0, [], 1.0)
+
+
+@query("restore_frames")
+def _(spark, d):
+    clip = packed(fixture_pixels(spark, 8).where("video_id = 'translucent'"))
+    return restore.restore_batch(clip, known_layer()).select("video_id", "pts_us", F.sha2("rgb", 256).alias("digest"))
+
+
+@query("poisson_relief")
+def _(spark, d):
+    return layers.map_regions(px(spark, d), ["clip", "t"], solvers.poisson).select("clip", "t", "y", "x", r6("v"))
+
+
+@query("harmonic_fill")
+def _(spark, d):
+    return layers.map_regions(px(spark, d), ["clip", "t"], _fill_positive).select("clip", "t", "y", "x", (F.round("v", 3) + F.lit(0.0)).alias("v"))
+
+
+def _fill_positive(v):
+    return solvers.harmonic_fill(v[..., None], v > 0.1)[..., 0]
+
+
+def _holes(v):
+    return solvers.fill_holes(v > 0)
+
+
+def _band(v):
+    return solvers.soft_band(v > 0.15, 2)
+
+
+def _nearest(v):
+    return solvers.nearest_clean(v > 0.1).reshape(v.shape)
+
+
+def _mirror(v):
+    return solvers.mirror_fill(v, (2, 3, 5, 7))
+
+
+def _patches(v):
+    import numpy as np
+
+    hole = np.zeros(v.shape, bool)
+    hole[3:5, 3:5] = True
+    return solvers.patch_fill(v[..., None], hole)[..., 0]
+
+
+@query("fill_holes", f"with recursive {PX}, mc as (select clip, t, y, x from px where v <= 0), rc(clip, t, y, x) as (select * from mc where y in (0, 7) or x in (0, 7) union select b.clip, b.t, b.y, b.x from rc join mc b on b.clip = rc.clip and b.t = rc.t and abs(b.y - rc.y) + abs(b.x - rc.x) = 1) select clip, t, y, x, cast(not exists (select 1 from rc where rc.clip = px.clip and rc.t = px.t and rc.y = px.y and rc.x = px.x) as double) as v from px")
+def _(spark, d):
+    return layers.map_regions(px(spark, d), ["clip", "t"], _holes)
+
+
+@query("soft_band", f"with {PX}, hi as (select clip, t, y, x from px where v > 0.15) select clip, t, y, x, cast(not v > 0.15 and exists (select 1 from hi where hi.clip = px.clip and hi.t = px.t and abs(hi.y - px.y) + abs(hi.x - px.x) <= 2) as double) as v from px")
+def _(spark, d):
+    return layers.map_regions(px(spark, d), ["clip", "t"], _band)
+
+
+@query("nearest_clean")
+def _(spark, d):
+    return layers.map_regions(px(spark, d), ["clip", "t"], _nearest)
+
+
+@query("mirror_inpaint")
+def _(spark, d):
+    return layers.map_regions(px(spark, d), ["clip", "t"], _mirror).select("clip", "t", "y", "x", r6("v"))
+
+
+@query("patch_synthesis")
+def _(spark, d):
+    return layers.map_regions(px(spark, d).where("t < 40"), ["clip", "t"], _patches).select("clip", "t", "y", "x", (F.round("v", 4) + F.lit(0.0)).alias("v"))
+
+
+@query("template_build", f"with {CF}, m as (select y, x, c, median(b / 255.0) as med from cf where a > 0 group by all), s as (select y, x, c, any_value(med) as med, median(abs(b / 255.0 - med)) * 1.4826 as mad from cf join m using (y, x, c) group by y, x, c) select y, x, round(avg(med), 6) + 0.0 as level, max(mad) <= 0.2 as support from s group by y, x")
+def _(spark, d):
+    rows = stats.median_mad(frames.closed_form_frames(spark).where("alpha > 0"), ["y", "x", "c"])
+    return rows.groupBy("y", "x").agg(F.avg("med").alias("level"), (F.max("mad") <= 0.2).alias("support")).select("y", "x", r6("level"), "support")
+
+
+@query("template_match", f"with {CF}, m as (select y, x, c, median(b / 255.0) as med from cf where a > 0 group by all), o as (select i as dx from range(-3, 4) r(i)), e as (select cf.t, o.dx, avg(least(0.25, abs(cf.b / 255.0 - med))) as cost from m, o, cf where cf.y = m.y and cf.x = m.x + o.dx and cf.c = m.c group by all) select t, arg_min(dx, (round(cost, 9), dx)) as dx, round(min(cost), 6) + 0.0 as cost from e group by t")
+def _(spark, d):
+    rows = frames.closed_form_frames(spark)
+    core = rows.where("alpha > 0").groupBy("y", "x", "c").agg(F.median("v").alias("med"))
+    moved = core.withColumn("dx", F.explode(F.sequence(F.lit(-3), F.lit(3)))).withColumn("x", F.col("x") + F.col("dx"))
+    cost = rows.join(moved, ["y", "x", "c"]).groupBy("t", "dx").agg(F.avg(F.least(F.lit(0.25), F.abs(F.col("v") - F.col("med")))).alias("cost"))
+    best = cost.groupBy("t").agg(F.min(F.struct(F.round("cost", 9).alias("e"), "dx")).alias("b"), F.min("cost").alias("cost"))
+    return best.select("t", F.col("b.dx").cast("long").alias("dx"), r6("cost"))
