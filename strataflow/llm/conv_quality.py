@@ -30,7 +30,7 @@ from . import kernels as K
 
 FILTERS, WIDTH, STEP, CHUNK = 32, 8, 4, 512
 HALF = CHUNK // 2
-SAMPLE, SAMPLE_BYTES, EPOCHS, BATCH, RATE, SEED = 1500, 1 << 16, 6, 48, 0.02, 20
+SAMPLE, SAMPLE_BYTES, EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 1500, 1 << 16, 6, 300, 48, 0.02, 20
 FOLDS, THRESHOLD = 5, 0.3
 
 
@@ -113,7 +113,7 @@ def fit(texts: list[str | None], labels: np.ndarray, ones: int, zeros: int) -> M
     model.out = random.normal(0, 0.1, FILTERS).astype(np.float32)
     data, at = K.texts(pa.array(texts, pa.string()))
     by_class = [np.flatnonzero(labels == c) for c in (0, 1)]
-    steps = EPOCHS * max(1, len(labels) // BATCH)
+    steps = max(LEAST_STEPS, EPOCHS * len(labels) // BATCH)
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("tables", model.tables), ("bias", model.bias), ("out", model.out))}
     state["offset"] = [0.0, 0.0]
     inner = np.arange(0, CHUNK, STEP)
