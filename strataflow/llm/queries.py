@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conv_quality, dac, decontaminate, html_text, jaccard_join, license_scan, packing, quality_rules, quote_chat, suffix_dedup
+from . import conv_quality, dac, decontaminate, html_text, jaccard_join, license_scan, oracles, packing, quality_rules, quote_chat, suffix_dedup
 
 
 def tokenizer_path(name: str) -> str:
@@ -74,7 +74,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "start_word", "n_words")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -89,4 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
-ORACLES: dict[str, str] = {"op9_license_scan": license_scan.oracle()}
+ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard_join": oracles.JACCARD,
+    "op9_license_scan": oracles.LICENSES,
+    "op10_benchmark_decontamination": oracles.LEAKS,
+}
