@@ -36,7 +36,7 @@ from . import kernels as K
 from .blobs import BLOB_DDL, blob_batch, frame, gathered
 from .shared import doc_key, drop_written, shuffle_parts, written
 
-HOT, TILE, CHUNK_BYTES = 64, 1024, 6 << 20
+HOT, TILE, CHUNK_BYTES = 64, 384, 6 << 20
 FRAGMENT_COLUMNS = 4096
 _LAST = np.uint32(0xFFFFFFFF)
 
