@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .blobs import BLOB_DDL, blob_batch, frame, gathered
-from .shared import doc_key, drop_written, shuffle_parts, written
+from .shared import bounded_batches, doc_key, drop_written, shuffle_parts, written
 
-HOT, TILE, CHUNK_BYTES = 64, 384, 6 << 20
+HOT, TILE, CHUNK_BYTES = 64, 384, 3 << 20
 FRAGMENT_COLUMNS = 4096
 _LAST = np.uint32(0xFFFFFFFF)
 
@@ -179,6 +179,7 @@ def _assemble(percent: int) -> Callable[[pa.Table], pa.Table]:
 
 def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """key, doc_id, n (set size); node, u and grams where the document can link at all."""
+    bounded_batches(docs.sparkSession)
     parts = shuffle_parts(docs.sparkSession)
     fragments = min(1 << 15, max(32, 1 << (parts - 1).bit_length()))
     owners = max(16, parts)

@@ -42,5 +42,13 @@ def doc_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.coalesce(F.col("text"), F.lit("")))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Record batches to Python hold so many rows at most from now on: whole texts are long, and a worker
+    holds a batch beside what it makes of it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .blobs import BLOB_DDL, blob_batch, frame, gathered
-from .shared import doc_key, shuffle_parts, written
+from .shared import bounded_batches, doc_key, shuffle_parts, written
 
 LENGTH, SEED, HOT_GROUP, COLLECTION = 200, 100, 20_000, 20_000
 SIDE = LENGTH - SEED
@@ -295,6 +295,7 @@ def _collection(t: pa.Table) -> pa.Table:
 def repeats(docs: DataFrame) -> DataFrame:
     """key and spans (frame of first and last window starts) of the documents with repeated windows."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = shuffle_parts(spark)
     fragments, owners = max(16, parts), max(16, parts)
     rows = docs.select("text", doc_key().alias("key"))
