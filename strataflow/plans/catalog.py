@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import components, frames, layers, sequence, solvers, stats, stencil, zones
+from ..operators import components, frames, layers, selection, sequence, solvers, stats, stencil, zones
 from ..sources import library
 from ..sources.tables import read, ship
 from ..streaming import restore
@@ -747,3 +747,81 @@ def _(spark, d):
     cost = rows.join(moved, ["y", "x", "c"]).groupBy("t", "dx").agg(F.avg(F.least(F.lit(0.25), F.abs(F.col("v") - F.col("med")))).alias("cost"))
     best = cost.groupBy("t").agg(F.min(F.struct(F.round("cost", 9).alias("e"), "dx")).alias("b"), F.min("cost").alias("cost"))
     return best.select("t", F.col("b.dx").cast("long").alias("dx"), r6("cost"))
+
+
+# --- selections and guards -------------------------------------------------------------------------------------
+@query("analysis_budget", "select p_partkey % 40 as g, cast(sum(p_size * 9 * (p_size * 5) * 3) * 16 as bigint) as bytes from part group by g having sum(p_size * 9 * (p_size * 5) * 3) * 16 <= 100663296 and max(p_size * 9 * (p_size * 5)) <= 800000")
+def _(spark, d):
+    rows = read(spark, d, "part").select((F.col("p_partkey") % 40).alias("g"), (F.col("p_size") * 9).alias("width"), (F.col("p_size") * 5).alias("height"))
+    return selection.within_budget(rows, ["g"], F.lit(16))
+
+
+@query("systematic_sample", f"with {PX}, r as (select *, row_number() over (partition by clip, t order by y, x) - 1 as k, count(*) over (partition by clip, t) as n from px where v <= 0.1) select clip, t, y, x from r where k % greatest(cast(ceil(n / 10.0) as bigint), 1) = 0")
+def _(spark, d):
+    return selection.systematic_sample(px(spark, d).where("v <= 0.1"), ["clip", "t"], ["y", "x"], 10).select("clip", "t", "y", "x")
+
+
+@query("topk_taps", f"with {PX}, g as (select clip, t, y, x, round(abs(lead(v) over (partition by clip, t, y order by x) - v), 6) as mag from px) select clip, t, y, x, mag + 0.0 as mag from (select *, row_number() over (partition by clip, t order by mag desc, y, x) as r from g where mag is not null) where r <= 5")
+def _(spark, d):
+    taps = stencil.gradients(px(spark, d), ["clip", "t"], "x").withColumn("mag", F.round(F.abs("d"), 6))
+    return selection.top_k(taps, ["clip", "t"], [F.desc("mag"), F.col("y"), F.col("x")], 5).select("clip", "t", "y", "x", "mag")
+
+
+@query("zone_hit_test", f"with {_SAN}, c as (select *, least(greatest(abs(l - 0.5), abs(t - 0.4)), greatest(abs(r - 0.5), abs(t - 0.4)), greatest(abs(l - 0.5), abs(b - 0.4)), greatest(abs(r - 0.5), abs(b - 0.4))) as dist, 0.5 between l and r and 0.4 between t and b as inside from san), k as (select *, case when dist <= 0.05 and k % 3 = 0 then 0 when dist <= 0.05 then 1 when inside then 2 end as part from c) select k % 25 as g, arg_min(k, (part, -k)) as pos, min(part) as part from k where part is not null group by k % 25")
+def _(spark, d):
+    rows = sane_rects(spark, d).select((F.col("p_partkey") % 25).alias("g"), F.col("p_partkey").alias("pos"), "r.*")
+    return selection.hit_test(rows, ["g"], 0.5, 0.4, 0.05, F.col("pos") % 3 == 0)
+
+
+@query("release_feed", "select p_partkey, cast(p_partkey as varchar) || '.' || p_size as version, case when p_size % 3 = 0 then 'https://github.com/b.apk' else 'https://github.com/a.apk' end as url, cast(p_size as bigint) as size from part where p_partkey % 4 > 0 and p_size % 5 <> 0")
+def _(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    asset = lambda name, url, size: F.struct(F.lit(name).alias("name"), F.lit(url).alias("browser_download_url"), size.cast("long").alias("size"))
+    first, second, evil, text = asset("a.apk", "https://github.com/a.apk", s), asset("b.apk", "https://github.com/b.apk", s), asset("c.apk", "https://evil.org/c.apk", s), asset("a.txt", "https://github.com/a.txt", s)
+    assets = F.when(s % 5 == 0, F.array(evil, text)).when(s % 3 == 0, F.array(first, second, evil)).otherwise(F.array(first, text))
+    feed = F.to_json(F.struct(F.concat(F.lit("v"), k.cast("string"), F.lit("."), s.cast("string")).alias("tag_name"), (k % 4 == 0).alias("draft"), F.lit(False).alias("prerelease"), assets.alias("assets")))
+    return read(spark, d, "part").select("p_partkey", selection.latest_release(feed, "github.com").alias("r")).where("r is not null").select("p_partkey", "r.version", "r.url", "r.size")
+
+
+@query("ttl_cache", "select event_id, case when event_id % 7 <> 0 and value * 100000 < 21600000 then 'cached' else 'fetched' end as source from events")
+def _(spark, d):
+    return read(spark, d, "events").select("event_id", selection.cached_or_fetched(F.lit("cached"), F.lit("fetched"), F.col("value") * 100_000, F.col("event_id") % 7 == 0).alias("source"))
+
+
+@query("two_block_detector", f"with recursive {LABELS}, {_STATS}, p as (select clip, t, list(struct_pack(l := label, s := size, x0 := x0, x1 := x1, y0 := y0, y1 := y1) order by label) as c from st group by all having count(*) = 2) select clip, t, c[1].s >= 3 and c[2].s >= 3 and greatest(c[1].x0 - c[2].x1, c[2].x0 - c[1].x1) between 2 and 30 and least(c[1].y1, c[2].y1) - greatest(c[1].y0, c[2].y0) > 5 and greatest(c[1].y1 - c[1].y0 + 1, c[2].y1 - c[2].y0 + 1) / least(c[1].y1 - c[1].y0 + 1, c[2].y1 - c[2].y0 + 1) < 1.6 as joined from p")
+def _(spark, d):
+    return selection.two_blocks(components.statistics(labelled(spark, d), ["clip", "t"]), ["clip", "t"], least=3)
+
+
+@query("mask_union", f"with {PX}, m as (select clip, t, cast(v > 0.12 as int) as m1, cast(v < -0.2 as int) as m2 from px), s as (select clip, t, count(*) as n, sum(m1) as before, sum(greatest(m1, m2)) as after from m group by all) select clip, t, cast(before as bigint) as before, cast(after as bigint) as after, after > before * 1.15 and after < before * 1.8 and after < n * 0.5 as adopted from s")
+def _(spark, d):
+    masks = px(spark, d).select("clip", "t", F.when(F.col("v") > 0.12, 1).otherwise(0).alias("m1"), F.when(F.col("v") < -0.2, 1).otherwise(0).alias("m2"))
+    return selection.adopt_union(masks, ["clip", "t"])
+
+
+@query("chunk_selection", "with c as (select p_partkey % 60 as g, p_partkey as chunk, p_size * 10 as mask, (p_partkey % 8) / 8.0 as fraction from part), m as (select *, max(mask) over (partition by g) as most from c) select g, arg_max(chunk, (fraction, mask, -chunk)) as chunk from m where mask >= 0.6 * most group by g")
+def _(spark, d):
+    k = F.col("p_partkey")
+    return selection.best_chunk(read(spark, d, "part").select((k % 60).alias("g"), k.alias("chunk"), (F.col("p_size") * 10).alias("mask"), ((k % 8) / 8.0).alias("fraction")), ["g"])
+
+
+@query("purify_fills", f"with {PX} select clip, t, cast(sum(cast(v > 0 or y < 2 as int)) as bigint) as filled, cast(0 as double) as alpha from px group by clip, t")
+def _(spark, d):
+    layer = px(spark, d).select("clip", "t", F.greatest("v", F.lit(0.0)).alias("alpha"), (F.col("y") < 2).alias("fill"))
+    return selection.purify(layer).groupBy("clip", "t").agg(F.count_if("fill").alias("filled"), F.max("alpha").alias("alpha"))
+
+
+@query("blank_probe", f"with {PX} select clip, t, bool_and(v < 0.1) as blank from px where y % 4 = 0 and x % 4 = 0 group by clip, t")
+def _(spark, d):
+    return px(spark, d).where("y % 4 = 0 and x % 4 = 0").groupBy("clip", "t").agg(F.bool_and(F.col("v") < 0.1).alias("blank"))
+
+
+@query("source_defaults", "select p_partkey, coalesce(case when p_size % 3 = 0 then p_name end, 'video.mp4') as name, coalesce(case when p_size % 2 = 0 then p_size end, 0) as size from part")
+def _(spark, d):
+    s = F.col("p_size")
+    return read(spark, d, "part").select("p_partkey", F.coalesce(F.when(s % 3 == 0, F.col("p_name")), F.lit("video.mp4")).alias("name"), F.coalesce(F.when(s % 2 == 0, s), F.lit(0)).alias("size"))
+
+
+@query("integrity_gate", "select page_id, octet_length(encode(html)) >= 2000 and starts_with(html, '<!') as ok from pages")
+def _(spark, d):
+    return read(spark, d, "pages").select("page_id", ((F.octet_length("html") >= 2000) & F.col("html").startswith("<!")).alias("ok"))
