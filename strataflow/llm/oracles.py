@@ -15,15 +15,16 @@ _GRAMS = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i +
 
 #: All pairs by shared n-grams, and components by following links.
 JACCARD = f"""
-with recursive d as (select doc_id, {_words('text')} as w from documents),
-g as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct({_GRAMS}) end as s from d),
-n as (select doc_id, len(s) as n from g),
-e as (select doc_id, unnest(s) as x from g),
+with recursive d as materialized (select doc_id, {_words('text')} as w from documents),
+p5 as (select doc_id, unnest(w) as x0, unnest(range(0, len(w))) as pos from d where len(w) >= 5),
+l5 as (select doc_id, concat_ws(' ', x0, lead(x0, 1) over o, lead(x0, 2) over o, lead(x0, 3) over o, lead(x0, 4) over o) as x, lead(pos, 4) over o as last from p5 window o as (partition by doc_id order by pos)),
+e as materialized (select distinct doc_id, x from l5 where last is not null union all select doc_id, array_to_string(w, ' ') from d where len(w) between 1 and 4),
+n as materialized (select d.doc_id, count(e.x) as n from d left join e using (doc_id) group by d.doc_id),
 f as (select x from e group by x having count(*) > 1),
-es as (select e.* from e join f using (x)),
+es as materialized (select e.* from e join f using (x)),
 p as (select a.doc_id as a, b.doc_id as b, count(*) as c from es a join es b on a.x = b.x and a.doc_id < b.doc_id group by all),
 l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
-u as (select a, b from l union select b, a from l),
+u as materialized (select a, b from l union select b, a from l),
 r(doc_id, m) as (select doc_id, doc_id from n union select r.doc_id, u.b from r join u on u.a = r.m),
 k as (select doc_id, min(m) as component_id from r group by doc_id),
 c as (select a as doc_id, count(*) as n_links from u group by a)
