@@ -135,22 +135,24 @@ def patch_fill(image: np.ndarray, hole: np.ndarray, radius: int = 3, grid: int =
         k += 1
         depth[grown & ~ring] = k
         ring = grown
-    offsets = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy or dx]
+    oy, ox = (o.ravel() for o in np.mgrid[-radius : radius + 1, -radius : radius + 1])
     for p in sorted(np.flatnonzero(hole.ravel()).tolist(), key=lambda p: (depth.ravel()[p], p)):
         y, x = divmod(p, w)
         near = [source[q] + p - q for dy, dx in FOUR if 0 <= y + dy < h and 0 <= x + dx < w and source[q := (y + dy) * w + x + dx] >= 0]
-        best, cost = -1, np.inf
-        for c in [*near, *donors.tolist()]:
-            cy, cx = divmod(int(c), w)
-            if not 0 <= c < h * w or hole[cy, cx]:
-                continue
-            at = [(y + dy, x + dx, cy + dy, cx + dx) for dy, dx in offsets if 0 <= y + dy < h and 0 <= x + dx < w and 0 <= cy + dy < h and 0 <= cx + dx < w and known[y + dy, x + dx] and not hole[cy + dy, cx + dx]]
-            if len(at) < least:
-                continue
-            a = np.array(at)
-            d = np.abs(out[a[:, 0], a[:, 1]] - image[a[:, 2], a[:, 3]]).mean()
-            if d < cost:
-                best, cost = c, d
+        tried = np.concatenate([np.array(near, int), donors])
+        tried = tried[(tried >= 0) & (tried < h * w)]
+        tried = tried[~hole.ravel()[tried]]
+        ty, tx = y + oy, x + ox
+        seen = (ty >= 0) & (ty < h) & (tx >= 0) & (tx < w)
+        seen[seen] = known[ty[seen], tx[seen]]
+        sy, sx = (tried // w)[:, None] + oy[seen], (tried % w)[:, None] + ox[seen]
+        ok = (sy >= 0) & (sy < h) & (sx >= 0) & (sx < w)
+        sy, sx = np.clip(sy, 0, h - 1), np.clip(sx, 0, w - 1)
+        ok &= ~hole[sy, sx]
+        n = ok.sum(axis=1)
+        d = np.abs(out[ty[seen], tx[seen]] - image[sy, sx]).mean(axis=-1)
+        cost = np.where(n >= least, np.where(ok, d, 0).sum(axis=1) / np.maximum(n, 1), np.inf)
+        best = int(tried[cost.argmin()]) if len(cost) and np.isfinite(cost.min()) else -1
         if best >= 0 and np.abs(image[divmod(best, w)] - base[y, x]).max() <= shift:
             out[y, x] = image[divmod(best, w)]
             source[p] = best

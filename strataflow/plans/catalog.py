@@ -730,7 +730,7 @@ def _(spark, d):
 
 @query("patch_synthesis")
 def _(spark, d):
-    return layers.map_regions(px(spark, d).where("t < 40"), ["clip", "t"], _patches).select("clip", "t", "y", "x", (F.round("v", 4) + F.lit(0.0)).alias("v"))
+    return layers.map_regions(px(spark, d), ["clip", "t"], _patches).select("clip", "t", "y", "x", (F.round("v", 4) + F.lit(0.0)).alias("v"))
 
 
 @query("template_build", f"with {CF}, m as (select y, x, c, median(b / 255.0) as med from cf where a > 0 group by all), s as (select y, x, c, any_value(med) as med, median(abs(b / 255.0 - med)) * 1.4826 as mad from cf join m using (y, x, c) group by y, x, c) select y, x, round(avg(med), 6) + 0.0 as level, max(mad) <= 0.2 as support from s group by y, x")

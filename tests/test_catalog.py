@@ -38,3 +38,8 @@ def test_query_agrees_with_sql(spark, duck, name):
 
 def test_every_sql_has_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def test_patch_synthesis_covers_every_frame(spark):
+    got = catalog.QUERIES["patch_synthesis"](spark, DATA)
+    assert got.count() == catalog.px(spark, DATA).count() and got.select("t").distinct().count() == spark.read.parquet(f"{DATA}/embeddings.parquet").count()
