@@ -117,16 +117,24 @@ def nearest_clean(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def patch_fill(image: np.ndarray, hole: np.ndarray, radius: int = 3, grid: int = 96, least: int = 18, shift: float = 0.35) -> np.ndarray:
+def _draws(p: int, n: int, below: int) -> np.ndarray:
+    """n numbers under ``below`` that depend on p alone."""
+    x = (np.uint64(p * n) + np.arange(1, n + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) % np.uint64(below)).astype(int)
+
+
+def patch_fill(image: np.ndarray, hole: np.ndarray, radius: int = 3, grid: int = 96, drawn: int = 20, least: int = 18, shift: float = 0.35) -> np.ndarray:
     """Edge-first synthesis: hole pixels, nearest to the border of the hole first, copy the donor whose known
-    surroundings differ least from theirs. Donors are a fixed grid of clean pixels and the neighbours'
-    donors; one too far from the harmonic colour is not taken."""
+    surroundings differ least from theirs. Donors are the neighbours' donors, a fixed grid over all clean
+    pixels and some drawn by hash for each pixel; one too far from the harmonic colour is not taken."""
     h, w = hole.shape
     base = harmonic_fill(image, hole)
     out, known = base.copy(), ~hole
     clean = np.flatnonzero((~hole).ravel())
     step = max(1, len(clean) // grid)
-    donors = clean[::step][:grid]
+    donors = clean[::step]
     source = np.full(h * w, -1)
     depth = np.full((h, w), -1)
     ring, k = ~hole, 0
@@ -139,7 +147,7 @@ def patch_fill(image: np.ndarray, hole: np.ndarray, radius: int = 3, grid: int =
     for p in sorted(np.flatnonzero(hole.ravel()).tolist(), key=lambda p: (depth.ravel()[p], p)):
         y, x = divmod(p, w)
         near = [source[q] + p - q for dy, dx in FOUR if 0 <= y + dy < h and 0 <= x + dx < w and source[q := (y + dy) * w + x + dx] >= 0]
-        tried = np.concatenate([np.array(near, int), donors])
+        tried = np.concatenate([np.array(near, int), donors, clean[_draws(p, drawn, len(clean))] if len(clean) else clean])
         tried = tried[(tried >= 0) & (tried < h * w)]
         tried = tried[~hole.ravel()[tried]]
         ty, tx = y + oy, x + ox

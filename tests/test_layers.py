@@ -119,3 +119,13 @@ def test_floods_labels_and_patches():
     hole = np.zeros((16, 16), bool)
     hole[6:9, 6:9] = True
     assert np.abs(solvers.patch_fill(np.where(hole[..., None], 0.5, stripes), hole, shift=1.0) - stripes).mean() < 0.05
+
+
+def test_patch_donors_come_from_the_whole_image():
+    image = np.random.default_rng(1).random((15, 13, 1))
+    image[7:] = image[:8]
+    hole = np.zeros((15, 13), bool)
+    hole[3:5, 6:8] = True  # 191 clean pixels; what belongs in the hole stands 7 rows below
+    assert np.allclose(solvers.patch_fill(np.where(hole[..., None], 0.5, image), hole, shift=1.0, drawn=0), image)
+    few = solvers.patch_fill(np.where(hole[..., None], 0.5, image), hole, grid=1, shift=1.0)
+    assert np.isin(few[hole], image[~hole]).all()
