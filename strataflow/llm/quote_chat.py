@@ -2,8 +2,9 @@
 
 A line's quote level is the number of ``>`` before it. Maximal runs of lines of one level above 0 are
 quoted passages. Passages, their paragraphs and their lines are normalised (white space to one space,
-lower case, trimmed), hashed, and joined to the like units that earlier messages of the
-same conversation wrote themselves. The parent of a message is the origin of its first level-1 passage
+lower case, trimmed), hashed, and looked up among the units of any length that earlier messages of the
+same conversation wrote themselves: of equal units the latest before the quoting turn counts, found in
+spans of ``SPAN`` turns and then over spans, so a line said and quoted often makes no square of pairs. The parent of a message is the origin of its first level-1 passage
 that has one (longest unit first, then the latest message); following parents gives the root. Ordered by
 (conv_id, root_turn, turn), messages stand in reply order, each with its quotes taken out, so
 no conversation is ever gathered in one row or task.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .shared import drop_written, written
 
 MARK = "^[ \\t]*(>[ \\t]?)+"
-#: Paragraphs and lines link from this many characters on; whole passages always.
-LEAST = 12
+#: Turns that are ordered as one when the latest like unit is looked up.
+SPAN = 256
 
 
 def _norm(c: Column) -> Column:
@@ -33,8 +34,7 @@ def _norm(c: Column) -> Column:
 def _units(text: Column) -> Column:
     """Normalised whole, paragraphs and lines of a text."""
     parts = F.concat(F.split(text, "\\n[ \\t]*\\n"), F.split(text, "\\n"))
-    small = F.filter(F.transform(parts, _norm), lambda x: F.length(x) >= LEAST)
-    return F.filter(F.array_distinct(F.concat(F.array(_norm(text)), small)), lambda x: x != "")
+    return F.filter(F.array_distinct(F.concat(F.array(_norm(text)), F.transform(parts, _norm))), lambda x: x != "")
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -59,14 +59,27 @@ def passages(messages: DataFrame) -> DataFrame:
     return runs.agg(F.min("pos").alias("first"), joined.alias("passage")).drop("run")
 
 
+def _latest(quoted: DataFrame, said: DataFrame) -> DataFrame:
+    """conv_id, hash, unit, turn, said_turn: for every quoted unit the latest earlier turn that said it."""
+    unit = ["conv_id", "hash", "unit"]
+    said = said.join(quoted.select(*unit).distinct(), unit, "left_semi")
+    rows = said.select(*unit, "turn", F.col("turn").alias("said_turn")).unionByName(quoted.select(*unit, "turn", F.lit(None).cast("long").alias("said_turn")))
+    rows = rows.groupBy(*unit, "turn").agg(F.max("said_turn").alias("own")).withColumn("span", F.floor(F.col("turn") / SPAN))
+    before = lambda order, *keys: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    near = rows.withColumn("near", F.max("own").over(before("turn", *unit, "span")))
+    far = rows.groupBy(*unit, "span").agg(F.max("own").alias("top")).withColumn("far", F.max("top").over(before("span", *unit)))
+    found = near.join(far.select(*unit, "span", "far"), [*unit, "span"])
+    return found.select(*unit, "turn", F.coalesce("near", "far").alias("said_turn")).where("said_turn is not null")
+
+
 def linked_passages(messages: DataFrame) -> DataFrame:
     """Every quoted passage with an origin: mid, conv_id, turn, level, first, parent."""
     quoted = passages(messages).where("conv_id is not null and turn is not null")
     quoted = quoted.select("mid", "conv_id", "turn", "level", "first", F.explode(_units(F.col("passage"))).alias("unit")).withColumn("hash", F.xxhash64("unit"))
     own = F.array_join(F.transform("lines", lambda x: F.when(x.level == 0, x.content).otherwise("")), "\n")
-    said = messages.where("conv_id is not null and turn is not null").select("conv_id", F.col("turn").alias("said_turn"), F.explode(_units(own)).alias("said")).withColumn("hash", F.xxhash64("said"))
-    pairs = quoted.join(said, ["conv_id", "hash"]).where("said = unit and said_turn < turn")
-    return pairs.groupBy("mid", "conv_id", "turn", "level", "first").agg(F.max(F.struct(F.length("unit"), "said_turn")).getField("said_turn").alias("parent"))
+    said = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(_units(own)).alias("unit")).withColumn("hash", F.xxhash64("unit"))
+    found = quoted.join(_latest(quoted, said), ["conv_id", "hash", "unit", "turn"])
+    return found.groupBy("mid", "conv_id", "turn", "level", "first").agg(F.max(F.struct(F.length("unit"), "said_turn")).getField("said_turn").alias("parent"))
 
 
 def roots(parents: DataFrame) -> DataFrame:

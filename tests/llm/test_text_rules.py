@@ -121,6 +121,14 @@ def test_quotes_link_to_what_was_said(spark):
     assert quote_chat.format_conversations(chats(spark)).count() == 10 and quote_chat.format_conversations(chats(spark).limit(0)).count() == 0
 
 
+def test_short_quoted_lines_link_to_the_latest_that_said_them(spark):
+    rows = [(1, 1, "user", "The build is green now.\nShip it?"), (1, 2, "user", "> Ship it?\nYes.")]
+    rows += [(2, t, "user", "Why?\n" + f"number {t}" if t % 300 == 0 else f"> Why?\nbecause of {t}") for t in range(0, 1000, 50)]
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.root_turn) for r in quote_chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 2] == (1, 1)
+    assert all(got[2, t] == ((t // 300 * 300,) * 2 if t % 300 else (None, t)) for t in range(0, 1000, 50))
+
+
 def test_native_operators_run_no_python(spark, docs):
     for df in (license_scan.scan_licenses(docs), quote_chat.format_conversations(chats(spark))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
