@@ -666,8 +666,9 @@ def known_layer(alpha: float = 0.6) -> layers.Layer:
 
 @query("restore_frames")
 def _(spark, d):
-    clip = packed(fixture_pixels(spark, 8).where("video_id = 'translucent'"))
-    return restore.restore_batch(clip, known_layer()).select("video_id", "pts_us", F.sha2("rgb", 256).alias("digest"))
+    clips = packed(fixture_pixels(spark))
+    restored = [restore.restore_batch(clips.where(F.col("video_id") == name), known_layer(a)) for name, a in (("opaque", 1.0), ("translucent", 0.6))]
+    return restored[0].unionByName(restored[1]).select("video_id", "pts_us", F.sha2("rgb", 256).alias("digest"))
 
 
 @query("poisson_relief")

@@ -1,7 +1,8 @@
 """Frame-by-frame restoration with bounded state, in presentation order.
 
 A key's state is one binary value: the previous restored frame with its confidences and a ring of
-luminance and pictures of bounded depth. The same core serves batches (grouped by key, sorted by time)
+pictures of bounded depth. A picture enters the ring once the scene has moved ``PUSH_TRAVEL`` pixels on an
+axis since the last one or after ``PUSH_GAP`` frames, so that slow scenes are remembered far back. The same core serves batches (grouped by key, sorted by time)
 and streams (a keyed stateful operator). A frame older than the last one starts a new clip: state is
 cleared, nothing is dropped or buffered.
 """
@@ -21,6 +22,7 @@ from ..operators.layers import INVERT, Layer
 
 # Confidences and search ranges of the restoration.
 NOISE, CLEAN, FILL, MOST, SEARCH, MAX_ERROR, SOURCE, STOP = 0.02, 10_000.0, 1 / 0.12**2, 8_000.0, 24, 0.06, 600.0, 2_600.0
+PUSH_TRAVEL, PUSH_GAP = 2.5, 24
 
 
 def depth_for(pixels: int) -> int:
@@ -76,6 +78,8 @@ class Restorer:
         self.lum: np.ndarray | None = None
         self.ring: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.travel = np.zeros(2)
+        self.previous: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.since = 0  # frames since the ring's last picture
 
     def process(self, pts: int, frame: np.ndarray) -> np.ndarray:
         """frame (h, w, 3) of bytes -> restored bytes."""
@@ -96,16 +100,21 @@ class Restorer:
                 self.travel += (dy, dx)
                 self._borrow(out, weight)
             else:
-                self.ring = []
+                self.ring, self.previous = [], None
                 self.travel = np.zeros(2)
         self.lum = lum
-        self.ring = [*self.ring, (out.copy(), np.minimum(weight, MOST), self.travel.copy())][-self.depth :]
+        self.previous = (out.copy(), np.minimum(weight, MOST), self.travel.copy())
+        self.since += 1
+        if not self.ring or self.since >= PUSH_GAP or np.abs(self.travel - self.ring[-1][2]).max() >= PUSH_TRAVEL:
+            self.ring = [*self.ring, self.previous][-self.depth :]
+            self.since = 0
         return np.floor(np.clip(out, 0, 1) * 255 + 0.5).astype(np.uint8)
 
     def _borrow(self, out: np.ndarray, weight: np.ndarray) -> None:
         """Uncertain pixels take what earlier frames saw there, newest first, until they are sure enough."""
         unsure = self.layer.mask & (weight < STOP)
-        for picture, w, at in reversed(self.ring):
+        older = self.ring[:-1] if self.ring and self.since == 0 else self.ring  # the last picture is the previous frame
+        for picture, w, at in reversed([*older, *([self.previous] if self.previous else [])]):
             if not unsure.any():
                 return
             dy, dx = self.travel - at
@@ -119,11 +128,12 @@ class Restorer:
             unsure &= weight < STOP
 
     def dump(self) -> bytes:
-        arrays = {"pts": np.array(-1 if self.last_pts is None else self.last_pts), "travel": self.travel}
+        arrays = {"pts": np.array(-1 if self.last_pts is None else self.last_pts), "travel": self.travel, "since": np.array(self.since)}
         if self.lum is not None:
             arrays["lum"] = self.lum.astype(np.float32)
-        if self.ring:
-            arrays |= {k: np.array([r[i] for r in self.ring], np.float32) for i, k in enumerate(("pictures", "weights", "places"))}
+        if self.previous:
+            kept = [*self.ring, self.previous]
+            arrays |= {k: np.array([r[i] for r in kept], np.float32) for i, k in enumerate(("pictures", "weights", "places"))}
         sink = io.BytesIO()
         np.savez_compressed(sink, **arrays)
         return sink.getvalue()
@@ -133,7 +143,9 @@ class Restorer:
         self.last_pts = None if got["pts"] < 0 else int(got["pts"])
         self.travel = got["travel"]
         self.lum = got["lum"].astype(float) if "lum" in got else None
-        self.ring = [(p.astype(float), w.astype(float), a.astype(float)) for p, w, a in zip(got["pictures"], got["weights"], got["places"])] if "pictures" in got else []
+        self.since = int(got["since"])
+        kept = [(p.astype(float), w.astype(float), a.astype(float)) for p, w, a in zip(got["pictures"], got["weights"], got["places"])] if "pictures" in got else []
+        self.ring, self.previous = kept[:-1], kept[-1] if kept else None
 
 
 OUT = "video_id string, pts_us long, rgb binary"

@@ -129,3 +129,27 @@ def test_patch_donors_come_from_the_whole_image():
     assert np.allclose(solvers.patch_fill(np.where(hole[..., None], 0.5, image), hole, shift=1.0, drawn=0), image)
     few = solvers.patch_fill(np.where(hole[..., None], 0.5, image), hole, grid=1, shift=1.0)
     assert np.isin(few[hole], image[~hole]).all()
+
+
+def test_slow_scenes_stay_in_the_ring():
+    from strataflow.plans import catalog
+
+    noise = np.random.default_rng(5).random((50, 142))
+    wide = sum(noise[i : i + 48, j : j + 140] for i in range(3) for j in range(3)) / 9
+    wide = np.repeat((wide * 255).astype(np.uint8)[..., None], 3, -1)
+    restorer = restore.Restorer(catalog.known_layer(1.0))
+    for t in range(40):  # half a pixel a frame
+        restorer.process(t, wide[:, t // 2 : t // 2 + 96])
+    places = [float(r[2][1]) for r in restorer.ring]
+    assert len(places) < restorer.depth and max(places) - min(places) > 14 and min(np.abs(np.diff(places))) >= 2
+    again = restore.Restorer(catalog.known_layer(1.0))
+    again.load(restorer.dump())
+    last = wide[:, 20:116]
+    assert again.since == restorer.since and np.abs(again.process(40, last).astype(int) - restorer.process(40, last)).max() <= 1
+
+
+def test_restore_query_covers_both_clips(spark):
+    from strataflow.plans import catalog
+
+    got = catalog.QUERIES["restore_frames"](spark, "").groupBy("video_id").count().collect()
+    assert {tuple(r) for r in got} == {("opaque", 16), ("translucent", 16)}
