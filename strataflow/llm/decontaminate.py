@@ -6,8 +6,10 @@ whole document where that is shorter). Windows and items are multisets of 5-word
 of 8 bits: of two fingerprints within ``RADIUS`` bits, some block differs in RADIUS // 16 bits at
 most, so looking up every block among the items' block neighbourhoods misses none. Pairs within
 the radius are verified by their exact weighted Jaccard similarity, sum of least over sum of most
-counts. At the threshold of 0.8 the expected distance is 19 bits; RADIUS stands four standard
-deviations above.
+counts. At the threshold of 0.8 and without repeated n-grams the expected distance is 19 bits; RADIUS
+stands four standard deviations above. Few or repeated n-grams spread wider, so items of less than ``FEW``
+n-grams or with a repeated one, and windows with a repeated one, are verified with every item of
+that size that shares an n-gram, whatever their distance.
 
 Only windows that can reach the threshold are fingerprinted: the shared occurrences must make up
 p / (1 + p) of both sizes together, so a window with fewer occurrences of any benchmark n-gram is
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-WORDS, PERCENT, RADIUS, BLOCKS = 5, 80, 36, 16
+WORDS, PERCENT, RADIUS, BLOCKS, FEW = 5, 80, 36, 16, 16
 BLOCK_CHARS = 4 << 20
 DDL = "item_id long, similarity double, start_word long, n_words long, distance int"
 _BITS = np.array([bin(x).count("1") for x in range(256)], np.uint8)
@@ -80,6 +82,15 @@ class Items:
             self.known[k] = np.array(sorted(of), np.uint64)
         self.index = {key: _BlockIndex([self.grams[i] for i in members], radius) for key, members in groups.items()}
         self.groups = dict(groups)
+        #: By group and n-gram: places of the items that hold it; and by group the places that the radius may miss.
+        self.holders: dict[tuple[int, int], dict[int, set[int]]] = {}
+        self.wide: dict[tuple[int, int], set[int]] = {}
+        for key, members in groups.items():
+            holders = self.holders.setdefault(key, defaultdict(set))
+            for p, i in enumerate(members):
+                for x in self.counts[i]:
+                    holders[x].add(p)
+            self.wide[key] = {p for p, i in enumerate(members) if key[1] < FEW or len(self.counts[i]) < key[1]}
 
     def need(self, a: int, b: int) -> int:
         """Least shared occurrences of two multisets of a and b n-grams at the threshold."""
@@ -119,7 +130,7 @@ class Items:
         at = 0
         best: dict[int, tuple[float, int, int, int]] = {}
         for size, begin, width in windows:
-            w, place, distance = self.index[k, size].near(marks[at : at + len(begin)])
+            w, place, distance = self._also(k, size, grams, begin, width, marks[at : at + len(begin)])
             at += len(begin)
             for i, p, d in zip(w.tolist(), place.tolist(), distance.tolist()):
                 item, s = self.groups[k, size][p], int(begin[i])
@@ -132,6 +143,21 @@ class Items:
             yield (item, *found)
 
 
+    def _also(self, k: int, size: int, grams: np.ndarray, begin: np.ndarray, width: int, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Window, item and distance of the pairs within the radius and of those that the radius may miss."""
+        index, holders, wide = self.index[k, size], self.holders[k, size], self.wide[k, size]
+        w, place, distance = index.near(marks)
+        pairs = set(zip(w.tolist(), place.tolist()))
+        more = set()
+        for i, s in enumerate(begin.tolist()):
+            mine = set(grams[s : s + width].tolist())
+            shared = set().union(*(holders[x] for x in mine if x in holders))
+            more |= {(i, p) for p in (shared if len(mine) < width else shared & wide)}
+        more = np.array(sorted(more - pairs), np.int64).reshape(-1, 2)
+        far = _BITS[marks[more[:, 0]] ^ index.marks[more[:, 1]]].sum(axis=1)
+        return np.concatenate([w, more[:, 0]]), np.concatenate([place, more[:, 1]]), np.concatenate([distance, far])
+
+
 class _BlockIndex:
     """Multi-index Hamming search over fingerprints of items of one size."""
 

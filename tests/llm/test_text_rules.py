@@ -71,6 +71,20 @@ def test_leaks_against_brute_force(spark, docs, rows, empty):
     assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0 and decontaminate.find_leaks(empty, benchmark).count() == 0
 
 
+def test_leaks_of_few_or_repeated_ngrams_are_all_found():
+    texts, docs = [], []
+    for i in range(1500):
+        words = [f"w{i}x{j}" for j in range(9)]
+        texts.append(" ".join(words))
+        docs.append(" ".join(words[:8]))  # 4 of 5 n-grams
+    for i in range(40):
+        cycle = [f"c{i}x{j % 4}" for j in range(13)]
+        texts.append(" ".join([*cycle, "end"]))
+        docs.append(" ".join([*cycle, "other"]))  # 9 of 10 n-grams, repeated
+    found = {(row, item) for row, item, *_ in decontaminate.Items(list(range(1540)), texts).matches(pa.array(docs))}
+    assert len(found) == 1540 and all(row == item for row, item in found if item < 1500)
+
+
 def test_leaks_do_not_depend_on_benchmark_blocks(spark, docs, rows):
     items = [(i, r[1]) for i, r in enumerate(rows[:20]) if r[1]]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
