@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import bounded_batches, map_rows
 
 WORDS, PERCENT, RADIUS, BLOCKS, FEW = 5, 80, 36, 16, 16
 BLOCK_CHARS = 4 << 20
@@ -142,7 +143,6 @@ class Items:
         for item, found in sorted(best.items()):
             yield (item, *found)
 
-
     def _also(self, k: int, size: int, grams: np.ndarray, begin: np.ndarray, width: int, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Window, item and distance of the pairs within the radius and of those that the radius may miss."""
         index, holders, wide = self.index[k, size], self.holders[k, size], self.wide[k, size]
@@ -201,6 +201,7 @@ def item_blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[Item
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, start_word, n_words, distance of the best window of every
     document and item that match."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = None
     for items in item_blocks(benchmark):
@@ -228,6 +229,7 @@ def _leak_rows(items: Items):
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that match no item, with all their columns."""
+    bounded_batches(docs.sparkSession)
     where = docs.columns.index("text")
 
     def keeper(items: Items):
@@ -241,5 +243,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     for items in item_blocks(benchmark):
-        docs = docs.mapInArrow(keeper(items), docs.schema)
+        docs = map_rows(docs, keeper(items), docs.columns)
     return docs

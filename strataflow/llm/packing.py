@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .shared import written
+from .shared import columns_of, numbered, written
 from .tokens import Encoder
 
 PART_ROWS = 200_000
 ROUNDS = 4
+OUTPUTS = ("sequence_id", "offset", "certified")
 
 
 def cut(n: int, seq_len: int) -> list[tuple[int, int]]:
@@ -117,14 +118,14 @@ def best_fit_decreasing(length: np.ndarray, seq_len: int) -> tuple[np.ndarray, n
     return bins, offset, np.array(free, np.int64)
 
 
-def _packer(turn: int, last: bool, seq_len: int) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
+def _packer(size: str, turn: int, last: bool, seq_len: int) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        length = t.column("length").to_numpy()
+        length = t.column(size).to_numpy()
         bins, offset, free = best_fit_decreasing(length, seq_len)
         proven = len(free) <= lower_bound(length, seq_len)
         stays = np.ones(len(length), bool) if last or proven else free[bins] == 0
         number = (turn << 56) + (key[0].as_py() << 32) + bins
-        out = t.drop_columns(["_part"])
+        out = t.drop_columns(["part"])
         out = out.append_column("sequence_id", pa.array(np.where(stays, number, -1), pa.int64()))
         out = out.append_column("offset", pa.array(offset, pa.int64()))
         return out.append_column("certified", pa.array(np.full(len(length), proven)))
@@ -135,23 +136,25 @@ def _packer(turn: int, last: bool, seq_len: int) -> Callable[[tuple[pa.Scalar, .
 def pack(pieces: DataFrame, seq_len: int = 2048, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """pieces (with a column length of 1 to seq_len) and their sequence_id, offset, and certified:
     whether the bins of the partition that packed the piece last are proven as few as can be."""
-    kept = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("certified", T.BooleanType())])
-    left, placed = written(pieces, "pieces"), []
+    pieces = pieces.select(*(c for c, name in zip(columns_of(pieces), pieces.columns) if name.lower() not in OUTPUTS))
+    plain = numbered(pieces)
+    size = plain.columns[pieces.columns.index("length")]
+    kept = T.StructType([*plain.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("certified", T.BooleanType())])
+    left, placed = written(plain, "pieces"), []
     rows = left.count()
     for turn in range(rounds):
         parts = max(1, -(-rows // part_rows))
         last = turn + 1 == rounds or parts == 1
-        dealt = left.withColumn("_part", (F.pmod(F.xxhash64(F.lit(turn), F.monotonically_increasing_id()), F.lit(parts))).cast("long"))
-
-        done = written(dealt.groupBy("_part").applyInArrow(_packer(turn, last, seq_len), kept), f"packed{turn}")
+        dealt = left.withColumn("part", (F.pmod(F.xxhash64(F.lit(turn), F.monotonically_increasing_id()), F.lit(parts))).cast("long"))
+        done = written(dealt.groupBy("part").applyInArrow(_packer(size, turn, last, seq_len), kept), f"packed{turn}")
         placed.append(done.where("sequence_id >= 0"))
         if last:
             break
-        left = done.where("sequence_id < 0").select(*pieces.columns)
+        left = done.where("sequence_id < 0").select(*plain.columns)
         rows = left.count()
         if not rows:
             break
     out = placed[0]
     for more in placed[1:]:
         out = out.unionByName(more)
-    return out
+    return out.toDF(*pieces.columns, *OUTPUTS)

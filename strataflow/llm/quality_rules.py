@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from . import kernels as K
+from .shared import bounded_batches, map_rows
 
 #: Bytes of a fixed chunk; a tail under half of it belongs to the chunk before.
 CHUNK = 2048
@@ -147,11 +148,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_columns(measure(b.column("text")))], names=["doc_id", *(f for f, _ in FIELDS)])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {DDL}")
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents whose verdict is kept, with all their columns."""
+    bounded_batches(docs.sparkSession)
     where = docs.columns.index("text")
     kept = [f for f, _ in FIELDS].index("kept")
 
@@ -159,4 +162,4 @@ def filter_documents(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(measure(b.column(where))[kept]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.columns)

@@ -7,9 +7,20 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Compressed bytes of a table per task of an exchange over its texts.
+TASK_BYTES = 8 << 20
+#: Blocks of an exchange grow with the square of its tasks; beyond this count the tasks grow instead.
+MOST_TASKS = 1 << 16
+#: Bytes of a hashed join side that one task may hold.
+HASH_SIDE = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +57,58 @@ def doc_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.coalesce(F.col("text"), F.lit("")))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever characters their names hold."""
+    return [F.col("`{}`".format(c.replace("`", "``"))) for c in df.columns]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ..: functions over record batches can't take every name."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], names: list[str]) -> DataFrame:
+    """mapInArrow for columns of any name. run sees the columns of df numbered, and yields the first len(names) of them."""
+    plain = numbered(df)
+    return plain.mapInArrow(run, T.StructType(plain.schema.fields[: len(names)])).toDF(*names)
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """Size of the files behind df, as the optimizer knows them; nothing is read for it. Inputs of unknown size
+    count as empty."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
+def tasks_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """How many tasks the exchanges over df's texts are dealt to: as many as the session says, and one for each
+    ``task_bytes`` of compressed table at least, so that a task's share doesn't grow with the data."""
+    return max(shuffle_parts(df.sparkSession), min(MOST_TASKS, -(-planned_bytes(df) // task_bytes)))
+
+
+def dealt(df: DataFrame, tasks: int) -> DataFrame:
+    """df with its column part dealt to so many tasks where the session's exchange would have fewer."""
+    return df.repartition(tasks, "part") if tasks > shuffle_parts(df.sparkSession) else df
+
+
+def fits_hash(df: DataFrame, size: int) -> DataFrame:
+    """df, a join side of ``size`` bytes under evenly spread keys, with the hint to be hashed where a task's share of
+    it is within ``HASH_SIDE``; beyond, the join sorts and spills."""
+    return df.hint("shuffle_hash") if size // shuffle_parts(df.sparkSession) <= HASH_SIDE else df
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Record batches to Python hold so many rows at most from now on: whole texts are long, and a worker
     holds a batch beside what it makes of it."""

@@ -17,19 +17,20 @@ anything, on short strings around anchors:
    both fit, and whose pair of ranks occurs twice, are repeated.
 4. Bytes covered by repeated windows go, judged on the input.
 
-An (anchor, block) pair that one batch holds twice is settled there and sent once. Collections of
-over ``HOT_GROUP`` blocks are split by the 50 bytes on the side where a window has at least 50.
+An (anchor, block) pair that one batch holds twice is settled there, and its task sends it once. Where
+an anchor has over ``HOT_GROUP`` different blocks, no collection gathers them: their windows are dealt by
+their own hashes, and those that one batch holds twice are settled there and sent once by their task, so
+a passage that a third of all documents share costs a task of the exchange one row per task before it.
 Hashes have 64 bits; documents are found again by a 64-bit key of id and text.
 
 Defined cases: null texts are empty; texts under ``LENGTH`` bytes lose nothing; repeated rows are
-repeats of each other; matches never cross documents; extra columns pass through; an empty table
-gives an empty table. Bytes that remain after a cut inside a UTF-8 character are kept as they are
+repeats of each other; matches never cross documents; extra columns pass through, whatever their names; an
+empty table gives an empty table. Bytes that remain after a cut inside a UTF-8 character are kept as they are
 in the result's bytes, and replaced by U+FFFD where ``dedup_documents`` has to return text.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,10 +40,12 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .blobs import BLOB_DDL, blob_batch, frame, gathered
-from .shared import bounded_batches, doc_key, shuffle_parts, written
+from .shared import bounded_batches, dealt, doc_key, fits_hash, free_names, map_rows, tasks_for, written
 
 LENGTH, SEED, HOT_GROUP, COLLECTION = 200, 100, 20_000, 20_000
 SIDE = LENGTH - SEED
+#: Repeated hashes that a task remembers (8 bytes each); beyond, it may send one again.
+KNOWN = 1 << 16
 
 
 def anchors(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -105,8 +108,27 @@ def _runs(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo, np.diff(np.append(lo, len(block)))
 
 
+class _Sent:
+    """Hashes that a task has settled as repeated and sent, so that it needn't send them again."""
+
+    def __init__(self) -> None:
+        self.known = np.zeros(0, np.uint64)
+
+    def split(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the hashes that this batch holds twice or the task has met twice before, and of one
+        occurrence of each that is still to send, with whether it is repeated."""
+        order = np.argsort(h, kind="stable")
+        lo, n = _runs(h[order])
+        before = np.isin(h[order[lo]], self.known)
+        many = (n > 1) | before
+        if len(self.known) < KNOWN:
+            self.known = np.union1d(self.known, h[order[lo[n > 1]]])
+        return order[np.repeat(many, n)], order[lo[~before]], (n[~before] > 1).astype(np.uint8)
+
+
 def _deal(fragments: int, owners: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = _Sent()
         for batch in batches:
             keys = batch.column("key").to_numpy()
             data, at = K.texts(batch.column("text"))
@@ -117,16 +139,11 @@ def _deal(fragments: int, owners: int) -> Callable[[Iterator[pa.RecordBatch]], I
             if not parts:
                 continue
             key, h, block, m, s0, s1 = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(block, kind="stable")
-            lo, n = _runs(block[order])
-            many = np.repeat(n > 1, n)
+            settled, sent, multi = memory.split(block)
             rows = []
-            settled = order[many]
             k, a, z = merged(key[settled], s0[settled], s1[settled])
             for g, ix in _by_part((k.view(np.uint64) % np.uint64(owners)).astype(np.int64)):
                 rows.append((fragments + g, 0, frame(k[ix], a[ix].astype(np.uint32), z[ix].astype(np.uint32))))
-            sent = order[lo]  # of each block one occurrence
-            multi = (n > 1).astype(np.uint8)
             for f, ix in _by_part((h[sent] % np.uint64(fragments)).astype(np.int64)):
                 i = sent[ix]
                 rows.append((f, 1, frame(h[i], block[i], key[i], m[i].astype(np.uint32), (m[i] - s0[i]).astype(np.uint8), (s1[i] - s0[i]).astype(np.uint8), multi[ix])))
@@ -199,32 +216,46 @@ def _marks(t: pa.Table) -> pa.Table:
 
 BLOCK_DDL = "part long, h long, key long, s0 long, anchor int, low int, high int, twice boolean, bytes binary"
 _BLOCKS = pa.schema([("part", pa.int64()), ("h", pa.int64()), ("key", pa.int64()), ("s0", pa.int64()), ("anchor", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("twice", pa.bool_()), ("bytes", pa.binary())])
+#: In place of an anchor: bytes hold windows to count, or windows that are settled.
+_TO_COUNT, _SETTLED = -1, -2
 
 
 def _blocks(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Bytes of the asked blocks. low to high: how far left of the anchor its windows begin."""
+    """Bytes of the asked blocks. low to high: how far left of the anchor its windows begin. Windows of hot
+    anchors go by their own hashes instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .blobs import unframe
 
+        memory = _Sent()
         for batch in batches:
-            keys = batch.column("key").to_pylist()
+            keys = batch.column("key").to_numpy()
             data, at = K.texts(batch.column("text"))
-            out = []
+            out, hot_windows = [], []
             for i, raw in enumerate(batch.column("needs").to_pylist()):
-                text = data[at[i] : at[i + 1]].tobytes()
-                for h, m, left, span, twice, hot in zip(*(x.tolist() for x in unframe(raw))):
-                    s0 = m - left
-                    block = text[s0 : s0 + span + LENGTH]
-                    low, high = left - span, left
-                    if not hot:
-                        out.append((h % parts, h, keys[i], s0, left, low, high, twice, block))
-                        continue
-                    half = SIDE // 2
-                    for a, z, side in ((low, min(high, half), block[left + SEED : left + SEED + SIDE - half]), (max(low, half + 1), high, block[max(0, left - half - 1) : left])):
-                        if a <= z:
-                            sub = int.from_bytes(hashlib.blake2b(side + h.to_bytes(8, "little"), digest_size=8).digest(), "little")
-                            out.append((sub % parts, sub, keys[i], s0, left, a, z, twice, block))
+                b = data[at[i] : at[i + 1]]
+                text = b.tobytes()
+                h, m, left, span, twice, hot = unframe(raw)
+                hot = hot.astype(bool)
+                for hh, mm, ll, ss, tt in zip(*(x[~hot].tolist() for x in (h, m, left, span, twice))):
+                    s0 = mm - ll
+                    out.append((hh % parts, hh, int(keys[i]), s0, ll, ll - ss, ll, bool(tt), text[s0 : s0 + ss + LENGTH]))
+                open_ = hot & ~twice.astype(bool)
+                if hot.any():
+                    first, count = m[hot].astype(np.int64) - left[hot], span[hot].astype(np.int64) + 1
+                    start = K.ragged(first, count)
+                    h_of = K.RangeHash(b).of(start, start + LENGTH)
+                    hot_windows.append((h_of, np.full(len(start), keys[i]), start, np.repeat(open_[hot], count)))
+            if hot_windows:
+                window, key, start, wanted = (np.concatenate(x) for x in zip(*hot_windows))
+                settled, sent, multi = memory.split(window)
+                settled = settled[wanted[settled]]
+                if len(settled):
+                    k, a, z = merged(key[settled], start[settled], start[settled])
+                    out.append((int(k[0]) % parts, 0, 0, 0, _SETTLED, 0, 0, False, frame(k, a, z)))
+                for g, ix in _by_part((window[sent] % np.uint64(parts)).astype(np.int64)):
+                    i = sent[ix]
+                    out.append((g, 0, 0, 0, _TO_COUNT, 0, 0, False, frame(window[i], key[i], start[i], multi[ix])))
             for lo in range(0, len(out), 20_000):
                 part, h, *rest = zip(*out[lo : lo + 20_000])
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)), *(pa.array(x, f.type) for x, f in zip(rest, list(_BLOCKS)[2:]))], schema=_BLOCKS)
@@ -280,35 +311,54 @@ def repeated_windows(h: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: n
     return found
 
 
+def _repeated_hashes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Key and start of the windows whose hash occurs twice."""
+    if not blobs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    window, key, start, multi = gathered(blobs)
+    _, inverse, count = np.unique(window, return_inverse=True, return_counts=True)
+    twice = (count > 1) | (np.bincount(inverse, multi, len(count)) > 0)
+    # What its batch held twice is settled there.
+    found = twice[inverse] & (multi == 0)
+    return key[found], start[found]
+
+
 def _collection(t: pa.Table) -> pa.Table:
     """One part of the collections: windows of blocks not settled yet that occur in another block."""
+    kind = t.column("anchor").to_numpy()
+    blobs = lambda k: [x for x, a in zip(t.column("bytes").to_pylist(), kind.tolist()) if a == k]
+    counted, settled = blobs(_TO_COUNT), blobs(_SETTLED)
+    t = t.filter(pa.array(kind >= 0))
     h, key, s0 = (t.column(c).to_numpy() for c in ("h", "key", "s0"))
     anchor, low, high = (t.column(c).to_numpy().astype(np.int64) for c in ("anchor", "low", "high"))
     found = repeated_windows(h, anchor, low, high, t.column("bytes").to_pylist())
     found[t.column("twice").to_numpy(zero_copy_only=False)] = False
     i, l = np.nonzero(found)
     start = s0[i] + anchor[i] - l
-    k, a, z = merged(key[i], start, start)
+    more_key, more_start = _repeated_hashes(counted)
+    parts = [(key[i], start, start), (more_key, more_start, more_start), *([tuple(gathered(settled))] if settled else [])]
+    k, a, z = merged(*(np.concatenate(x) for x in zip(*parts)))
     return pa.Table.from_arrays([pa.array(k), pa.array(a), pa.array(z)], schema=_SPANS)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """key and spans (frame of first and last window starts) of the documents with repeated windows."""
+def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
+    """key and spans (frame of first and last window starts) of the documents with repeated windows, and about
+    how many bytes that table holds."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts = shuffle_parts(spark)
-    fragments, owners = max(16, parts), max(16, parts)
+    tasks = tasks_for(docs)
+    fragments = owners = max(16, tasks)
     rows = docs.select("text", doc_key().alias("key"))
-    dealt = rows.mapInArrow(_deal(fragments, owners), BLOB_DDL)
-    settled = dealt.groupBy("part").applyInArrow(_settle(fragments, owners), BLOB_DDL)
-    marks = written(settled.groupBy("part").applyInArrow(_marks, MARKS_DDL), "marks")
-    total = marks.agg(F.sum("n_needs")).first()[0] or 0
+    found = rows.mapInArrow(_deal(fragments, owners), BLOB_DDL)
+    settled = dealt(found, tasks).groupBy("part").applyInArrow(_settle(fragments, owners), BLOB_DDL)
+    marks = written(dealt(settled, tasks).groupBy("part").applyInArrow(_marks, MARKS_DDL), "marks")
+    total, needs, spans = (x or 0 for x in marks.agg(F.sum("n_needs"), F.sum(F.octet_length("needs")), F.sum(F.octet_length("spans"))).first())
     collections = max(16, -(-total // COLLECTION))
     asked = marks.where("n_needs > 0").select("key", "needs")
-    once = rows.join(asked.hint("shuffle_hash"), "key").select("key", "text", "needs")
-    found = once.mapInArrow(_blocks(collections), BLOCK_DDL).groupBy("part").applyInArrow(_collection, "key long, s0 long, s1 long")
-    pairs = found.groupBy("key").agg(F.collect_list(F.struct("s0", "s1")).alias("more"))
-    return written(marks.select("key", "spans").join(pairs, "key", "full"), "repeats")
+    once = rows.join(fits_hash(asked, needs), "key").select("key", "text", "needs")
+    blocks = dealt(once.mapInArrow(_blocks(collections), BLOCK_DDL), collections)
+    pairs = blocks.groupBy("part").applyInArrow(_collection, "key long, s0 long, s1 long").groupBy("key").agg(F.collect_list(F.struct("s0", "s1")).alias("more"))
+    return written(marks.select("key", "spans").join(pairs, "key", "full"), "repeats"), spans + needs
 
 
 def covered(size: int, spans: bytes | None, more: list[dict] | None) -> list[tuple[int, int]]:
@@ -326,18 +376,20 @@ def covered(size: int, spans: bytes | None, more: list[dict] | None) -> list[tup
     return out
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs, with all their columns, beside _spans and _more of their text."""
-    found = repeats(docs).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"), F.col("more").alias("_more"))
-    return docs.withColumn("_key", doc_key()).join(found.hint("shuffle_hash"), "_key", "left")
+def _with_spans(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs, with all their columns, beside two more of the returned names: settled and further spans of their text."""
+    key, spans, more = free_names(docs, "_key", "_spans", "_more")
+    found, size = repeats(docs)
+    found = found.select(F.col("key").alias(key), F.col("spans").alias(spans), F.col("more").alias(more))
+    return docs.withColumn(key, doc_key()).join(fits_hash(found, size), key, "left").drop(key), spans, more
 
 
-def _kept(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+def _kept(text: pa.Array, spans: pa.Array, more: pa.Array) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
     """The whole bytes and the runs to remove of each row."""
-    data, at = K.texts(batch.column("text"))
-    for i, (spans, more) in enumerate(zip(batch.column("_spans").to_pylist(), batch.column("_more").to_pylist())):
+    data, at = K.texts(text)
+    for i, (s, m) in enumerate(zip(spans.to_pylist(), more.to_pylist())):
         text = data[at[i] : at[i + 1]].tobytes()
-        yield text, covered(len(text), spans, more)
+        yield text, covered(len(text), s, m)
 
 
 def _rest(text: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -353,7 +405,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(_kept(b))
+            rows = list(_kept(b.column("text"), b.column(spans), b.column(more)))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
@@ -367,20 +419,21 @@ def removed_spans(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = _with_spans(docs.select("doc_id", "text")).select("doc_id", "text", "_spans", "_more")
+    joined, spans, more = _with_spans(docs.select("doc_id", "text"))
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>")
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes gone from their texts; null texts stay null, all else as it was."""
     columns = docs.columns
-    where = columns.index("text")
+    where, n = columns.index("text"), len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = [_rest(t, r).decode("utf-8", "replace") for t, r in _kept(b)]
-            null = np.asarray(b.column("text").is_null())
+            kept = [_rest(t, r).decode("utf-8", "replace") for t, r in _kept(b.column(where), b.column(n), b.column(n + 1))]
+            null = np.asarray(b.column(where).is_null())
             text = pa.array(kept, pa.string(), mask=null)
-            yield pa.RecordBatch.from_arrays([text if i == where else b.column(i) for i in range(len(columns))], names=columns)
+            yield pa.RecordBatch.from_arrays([text if i == where else b.column(i) for i in range(n)], names=b.schema.names[:n])
 
-    return _with_spans(docs).select(*columns, "_spans", "_more").mapInArrow(run, docs.schema)
+    joined, spans, more = _with_spans(docs)
+    return map_rows(joined, run, columns)

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-DDL = "doc_id long, text string, lang string, source string, n_chars long, key long, node string, label int"
+#: Columns that operators use for themselves, and a name that needs quoting.
+CLASHES = ["_key", "_spans", "_more", "_part", "_KEY_", "sequence_id", "Offset", "certified", "part", "kept", "score", "a.b", "_h", "spans"]
+DDL = "doc_id long, text string, lang string, source string, n_chars long, key long, node string, label int, " + ", ".join(f"`{c}` string" for c in CLASHES)
 
 
 def prose(rng, n):
@@ -28,7 +30,7 @@ def corpus():
     rows = [(i if i % 17 else 1000 + i, t, "en", f"src{i % 3}", len(t or ""), i, "clash", i) for i, t in enumerate(texts)]
     rows += [rows[3], rows[40]]
     rows.append((None, base[2], "en", "s", 1, 1, "n", 1))
-    return rows
+    return [(*r, *(f"{c} of {r[0]}" for c in CLASHES)) for r in rows]
 
 
 @pytest.fixture(scope="session")

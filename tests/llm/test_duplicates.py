@@ -55,9 +55,11 @@ def test_join_of_nothing(empty):
     assert jaccard_join.join_documents(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [20_000, 3])
-def test_repeated_bytes_against_brute_force(monkeypatch, docs, rows, hot):
+@pytest.mark.parametrize("hot,tasks", [(20_000, 4), (3, 4), (1, 9)])
+def test_repeated_bytes_against_brute_force(monkeypatch, docs, rows, hot, tasks):
     monkeypatch.setattr(suffix_dedup, "HOT_GROUP", hot)
+    monkeypatch.setattr(suffix_dedup, "tasks_for", lambda df: tasks)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7" if hot == 1 else "2000")
     raw = [(r[1] or "").encode() for r in rows]
     count = Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
     want = []
@@ -74,6 +76,8 @@ def test_repeated_bytes_against_brute_force(monkeypatch, docs, rows, hot):
 def test_dedup_returns_the_documents(docs, empty):
     got = suffix_dedup.dedup_documents(docs)
     assert got.schema == docs.schema and got.count() == docs.count() and got.where("text is null").count() == 1
+    others = lambda df: sorted(str([v for k, v in r.asDict().items() if k != "text"]) for r in df.collect())
+    assert others(got) == others(docs)
     assert suffix_dedup.removed_spans(empty).count() == 0
 
 
@@ -94,7 +98,8 @@ def test_pipeline_stages(spark, docs, rows, empty):
         assert any(key[0] == min(ids) and any(key == (r[0], r[1]) for r in members) for key in left)
     assert corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
     cut = corpus_pipeline.repeated_passages(spark, docs, "")
-    assert cut.columns == docs.columns and cut.where("n_chars <> length(text)").count() == 0
+    assert cut.columns == docs.columns and corpus_pipeline.near_duplicates(spark, docs, "").columns == docs.columns
+    assert cut.where("n_chars <> length(text)").count() == 0
     packed = corpus_pipeline.pack(spark, docs, "")
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 

@@ -85,3 +85,26 @@ def test_bounds_and_cuts():
         length = rng.integers(1, 2049, 200)
         bins, offset, free = packing.best_fit_decreasing(length, 2048)
         assert len(free) >= packing.lower_bound(length, 2048) and np.bincount(bins, length).max() <= 2048
+
+
+def test_packing_carries_columns_of_any_name(spark):
+    rows = [(i, 0, 0, 10 + i % 90, f"s{i}", f"p{i}", "x", "y", "z") for i in range(300)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, part string, _part string, sequence_id string, Offset string, certified string")
+    got = packing.pack(pieces, 128, part_rows=40)
+    assert got.columns == ["doc_id", "piece", "start", "length", "part", "_part", "sequence_id", "offset", "certified"]
+    assert sorted((r.doc_id, r.part, r["_part"]) for r in got.collect()) == [(i, f"s{i}", f"p{i}") for i in range(300)]
+
+
+def test_exchange_rounds_close_gaps(spark):
+    """Pieces of 70 and 58 fill a bin of 128 in pairs; a small part seldom holds as many of each."""
+    rows = [(i, 70 if i < 200 else 58) for i in range(400)]
+    pieces = spark.createDataFrame(rows, "doc_id long, length long").coalesce(1)
+    spread = {}
+    for rounds in (1, 6):
+        got = packing.pack(pieces, 128, part_rows=25, rounds=rounds).collect()
+        spread[rounds] = len({r.sequence_id for r in got})
+        fill = {}
+        for r in got:
+            fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+        assert len(got) == 400 and max(fill.values()) <= 128
+    assert 200 <= spread[6] < spread[1]
