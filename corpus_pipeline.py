@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strataflow.llm import decontaminate, jaccard_join, packing, quality_rules, suffix_dedup
 from strataflow.llm.queries import ship, table, tokenizer_path
-from strataflow.llm.shared import doc_key, written
+from strataflow.llm.shared import columns_of, doc_key, free_names, written
 
 ORACLE_SQL: str | None = None
 
@@ -36,16 +36,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship(spark)
     found = jaccard_join.join_documents(docs).where("group is not null").select("key", "doc_id", "group")
     found = written(found, "linked")
+    (key,) = free_names(docs, "_key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))
     stays = found.groupBy("group").agg(first.getField("key").alias("key")).select("key")
-    gone = written(found.select("key").distinct().join(stays, "key", "left_anti").withColumnRenamed("key", "_key"), "gone")
-    keys = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone.hint("shuffle_hash")
-    kept = docs.withColumn("_key", doc_key()).join(keys, "_key", "left_anti")
-    twice = found.groupBy("key").count().where("count > 1").join(stays, "key", "left_semi").select(F.col("key").alias("_key"))
+    gone = written(found.select("key").distinct().join(stays, "key", "left_anti").withColumnRenamed("key", key), "gone")
+    keys = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    kept = docs.withColumn(key, doc_key()).join(keys, key, "left_anti")
+    twice = found.groupBy("key").count().where("count > 1").join(stays, "key", "left_semi").select(F.col("key").alias(key))
     if not twice.limit(1).count():
-        return kept.select(*docs.columns)
-    single, repeated = kept.join(twice, "_key", "left_anti"), kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"])
-    return single.unionByName(repeated).select(*docs.columns)
+        return kept.select(*columns_of(docs))
+    single, repeated = kept.join(twice, key, "left_anti"), kept.join(twice, key, "left_semi").dropDuplicates([key])
+    return single.unionByName(repeated).select(*columns_of(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
