@@ -5,9 +5,11 @@
 2. Frequencies give the global order (rarest first, then by hash). N-grams of one document only
    can't overlap: a document with under 80 % shared n-grams links with nothing and drops out.
    Equal sets collapse into one node with a weight.
-3. Linked sets share an n-gram of their prefixes (the first n - ceil(0.8 n) + 1 in the order). For each
-   prefix n-gram the smallest node that has it is the pivot; its block holds all nodes that share
-   such an n-gram, so both ends of every link meet in a block. Blocks over ``TILE`` nodes are dealt in pairs of tiles.
+3. Linked sets share an n-gram of their prefixes (the first n - ceil(0.8 n) + 1 in the order), and the smaller
+   has 80 % of the larger one's size at least. For each prefix n-gram the smallest node that has it is the
+   pivot; its block holds all nodes that share such an n-gram, so both ends of every link meet in a block. N-grams
+   of nodes of too different sizes have a pivot for each class of sizes with the class below, so a digest of many
+   documents travels to blocks of its own size only. Blocks over ``TILE`` nodes are dealt in pairs of tiles.
 4. In a block the global order is cut into fragments again; partial overlaps of all pairs are counted
    fragment by fragment and summed per pair. A block returns a spanning forest of its links and the
    number of links it owns (a pair in several blocks belongs to the smallest pivot), never the pairs.
@@ -16,7 +18,8 @@
 An n-gram that ``HOT`` documents of one batch share is counted once for the batch and ordered last;
 its occurrences go straight to their documents' partitions, so no fragment gathers them.
 
-N-grams are identified by 64-bit hashes, of which exchanges keep the fragment number and 48 bits.
+Fragments and exchanges follow the size of the table. N-grams are identified by 64-bit hashes, of which
+exchanges keep the fragment number and 48 bits.
 
 Defined cases: null and wordless texts have size 0, link with nothing and are their own component;
 1 to 4 words form one n-gram; repeated rows link with each other; null ids take part, and count as
@@ -25,6 +28,7 @@ larger than any id; extra columns aren't read; an empty table gives an empty tab
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,10 +38,12 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .blobs import BLOB_DDL, blob_batch, frame, gathered
-from .shared import bounded_batches, doc_key, drop_written, shuffle_parts, written
+from .shared import bounded_batches, dealt, doc_key, drop_written, tasks_for, written
 
 HOT, TILE, CHUNK_BYTES = 64, 384, 3 << 20
 FRAGMENT_COLUMNS = 4096
+#: Most fragments of the hash space.
+MOST_FRAGMENTS = 1 << 20
 _LAST = np.uint32(0xFFFFFFFF)
 
 SETS_DDL = "key long, doc_id long, n int, node long, u int, grams binary"
@@ -66,6 +72,13 @@ def _groups(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part[ix[0]]), ix
 
 
+def _gram(bits: int, part: np.ndarray | int, tail: np.ndarray) -> np.ndarray:
+    """One number of a fragment and the 48 bits of the hash behind its bits."""
+    if bits <= 16:
+        return (np.uint64(part) << np.uint64(48)) | tail
+    return (np.uint64(part) << np.uint64(64 - bits)) | (tail >> np.uint64(bits - 16))
+
+
 def _deal(k: int, fragments: int, owners: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Batches of documents -> blobs for fragments (parts 0 ..) and owners (parts fragments ..)."""
     bits = fragments.bit_length() - 1
@@ -87,7 +100,7 @@ def _deal(k: int, fragments: int, owners: int) -> Callable[[Iterator[pa.RecordBa
         is_hot = hot[inverse]
         for g, ix in _groups(np.where(is_hot, owner[row], -1)):
             if g >= 0:
-                rows.append((fragments + g, 1, frame(keys[row[ix]], frag[ix].astype(np.uint16), tail[ix], np.full(len(ix), _LAST))))
+                rows.append((fragments + g, 1, frame(keys[row[ix]], _gram(bits, frag[ix].astype(np.uint64), tail[ix]), np.full(len(ix), _LAST))))
         for f, ix in _groups(np.where(is_hot, -1, frag)):
             if f >= 0:
                 doc, count_in = np.unique(row[ix], return_counts=True)
@@ -109,6 +122,7 @@ def _deal(k: int, fragments: int, owners: int) -> Callable[[Iterator[pa.RecordBa
 
 def _count(fragments: int, owners: int) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
     """One fragment: shared n-grams with their document frequency, dealt to the documents' owners."""
+    bits = fragments.bit_length() - 1
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         part = key[0].as_py()
@@ -130,7 +144,8 @@ def _count(fragments: int, owners: int) -> Callable[[tuple[pa.Scalar, ...], pa.T
             df[np.isin(gram, hot)] = _LAST
         shared = df > 1
         gram, owner_of, df = gram[shared], owner_of[shared], df[shared]
-        rows = [(g, 1, frame(owner_of[ix], np.full(len(ix), part, np.uint16), gram[ix], df[ix])) for g, ix in _groups((owner_of.view(np.uint64) % np.uint64(owners)).astype(np.int64))]
+        gram = _gram(bits, part, gram)
+        rows = [(g, 1, frame(owner_of[ix], gram[ix], df[ix])) for g, ix in _groups((owner_of.view(np.uint64) % np.uint64(owners)).astype(np.int64))]
         return pa.Table.from_batches([blob_batch(rows)])
 
     return run
@@ -152,8 +167,7 @@ def _assemble(percent: int) -> Callable[[pa.Table], pa.Table]:
         pieces = [b for k, b in zip(kinds, blobs) if k == 1]
         node, u, grams = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32), [None] * len(keys)
         if pieces:
-            owner, frag, tail, df = gathered(pieces)
-            gram = (frag.astype(np.uint64) << np.uint64(48)) | tail
+            owner, gram, df = gathered(pieces)
             order = np.lexsort((gram, df, owner))
             owner, gram = owner[order], gram[order]
             new = np.ones(len(owner), bool)  # a repeated row sends the same n-gram twice
@@ -177,16 +191,20 @@ def _assemble(percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def fragment_count(tasks: int) -> int:
+    """A power of two, so that a fragment is the first bits of a hash."""
+    return min(MOST_FRAGMENTS, max(32, 1 << (tasks - 1).bit_length()))
+
+
 def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """key, doc_id, n (set size); node, u and grams where the document can link at all."""
     bounded_batches(docs.sparkSession)
-    parts = shuffle_parts(docs.sparkSession)
-    fragments = min(1 << 15, max(32, 1 << (parts - 1).bit_length()))
-    owners = max(16, parts)
+    tasks = tasks_for(docs)
+    fragments, owners = fragment_count(tasks), max(16, tasks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", doc_key().alias("key"))
-    dealt = rows.mapInArrow(_deal(k, fragments, owners), BLOB_DDL)
-    counted = dealt.groupBy("part").applyInArrow(_count(fragments, owners), BLOB_DDL)
-    return counted.groupBy("part").applyInArrow(_assemble(percent), SETS_DDL)
+    found = rows.mapInArrow(_deal(k, fragments, owners), BLOB_DDL)
+    counted = dealt(found, tasks).groupBy("part").applyInArrow(_count(fragments, owners), BLOB_DDL)
+    return dealt(counted, tasks).groupBy("part").applyInArrow(_assemble(percent), SETS_DDL)
 
 
 def _prefixes(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -280,6 +298,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _stars(prefix: DataFrame, percent: int) -> DataFrame:
+    """node, pivot: the blocks of every node. Of an n-gram whose nodes are of sizes that can all link, the smallest
+    node is the pivot. Of the others, the nodes of each class of sizes, each ``100 / percent`` times
+    the one below (a little more, against rounding), meet those of the class below at a pivot of their own."""
+    smallest = F.min(F.struct("n", "node"))
+    pivots = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), smallest.alias("pivot"), F.max("n").alias("most")).where("c > 1")
+    wide = F.col("most") * percent > F.col("pivot.n").cast("long") * 100
+    pivots = pivots.where(~wide | (F.col("c") > 2)).select("gram", F.col("pivot.node").alias("pivot"), wide.alias("wide"))
+    met = prefix.join(pivots, "gram").select("node", "n", F.when(~F.col("wide"), F.col("pivot")).alias("pivot"), F.when(F.col("wide"), F.col("gram")).alias("gram"))
+    met = written(met.distinct(), "met")
+    narrow = met.where("gram is null").select("node", "pivot")
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(101 / percent))
+    classes = met.where("gram is not null").select("gram", "node", "n", F.explode(F.array(F.struct(size.alias("size"), F.lit(1).alias("own")), F.struct((size + 1).alias("size"), F.lit(0).alias("own")))).alias("s"))
+    classes = classes.select("gram", "node", "n", "s.size", "s.own")
+    of_class = classes.groupBy("gram", "size").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("own"), smallest.alias("pivot")).where("c > 1 and own = 1")
+    meeting = classes.join(of_class.select("gram", "size", F.col("pivot.node").alias("pivot")), ["gram", "size"]).select("node", "pivot")
+    return narrow.union(meeting).distinct()
+
+
 def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """key, doc_id, n_shingles, component_id (smallest linked doc_id), n_links, group (a number that
     linked documents share; null for those that link with nothing) of every document."""
@@ -287,8 +324,7 @@ def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     active = sets.where("grams is not null")
     nodes = written(active.groupBy("node").agg(F.count(F.lit(1)).alias("w"), F.first("n").alias("n"), F.first("u").alias("u"), F.first("grams").alias("grams")), "nodes")
     prefix = nodes.select("node", "n", "u", "grams").mapInArrow(_prefixes(percent), "gram long, node long, n int")
-    pivots = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "node")).alias("pivot")).where("c > 1")
-    star = written(prefix.join(pivots, "gram").select("node", F.col("pivot.node").alias("pivot")).distinct(), "star")
+    star = written(_stars(prefix, percent), "star")
     sizes = star.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"))
     tiles = F.ceil(F.col("c") / TILE).cast("int")
     lists = star.groupBy("node").agg(F.collect_list("pivot").alias("pivots"))

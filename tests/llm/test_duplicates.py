@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -51,6 +52,33 @@ def test_join_against_brute_force(monkeypatch, docs, rows, tile, hot):
     assert got == want and sum(k > 0 for k in links) > 20
 
 
+def test_join_of_sizes_that_cannot_link_ships_no_digest(spark):
+    """Digests of many documents share n-grams with all of them, but meet none of them in a block."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shipped = []
+    for n in (20, 40):
+        parts = [" ".join(word() for _ in range(rng.randint(20, 60))) for _ in range(n)]
+        texts = [*parts, " ".join(parts), " ".join([*parts, "tail"]), *(p + " changed" for p in parts[: n // 2])]
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        sets = jaccard_join.document_sets(docs, 5, 80).where("grams is not null").dropDuplicates(["node"])
+        prefix = sets.select("node", "n", "u", "grams").mapInArrow(jaccard_join._prefixes(80), "gram long, node long, n int")
+        stars = jaccard_join._stars(prefix, 80).join(sets.select("node", "n"), "node")
+        shipped.append(stars.agg({"n": "sum"}).first()[0])
+        group, links, _ = brute_groups(texts)
+        got = {r.doc_id: (r.n_links, r.component_id) for r in jaccard_join.join_documents(docs).collect()}
+        least = {g: min(i for i, h in enumerate(group) if h == g) for g in group}
+        assert got == {i: (k, least[g]) for i, (g, k) in enumerate(zip(group, links))} and links[n] == 1
+    assert shipped[1] < 3 * shipped[0]
+
+
+def test_join_over_many_fragments(spark, docs, rows, monkeypatch):
+    want = sorted(map(str, jaccard_join.join_documents(docs).drop("group").collect()))
+    monkeypatch.setattr(jaccard_join, "tasks_for", lambda df: 9)
+    monkeypatch.setattr(jaccard_join, "fragment_count", lambda tasks: 1 << 18)
+    assert sorted(map(str, jaccard_join.join_documents(docs).drop("group").collect())) == want
+
+
 def test_join_of_nothing(empty):
     assert jaccard_join.join_documents(empty).count() == 0
 
