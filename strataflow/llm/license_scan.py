@@ -10,7 +10,9 @@ pairs are verified by the exact containment of the template's shingles in the wi
 Two exact filters come first. A text that holds 80 % of a template's shingles can miss few of its
 words: of any t words five or more apart, t = missing shingles div 5 + 1, one is there, so
 texts with none of those words are out by plain substring search. And only windows with a
-shingle of some template are hashed.
+shingle of some template are hashed. The shingles of a text are cut into pieces of ``PIECE`` starts, each
+followed by as many shingles more as the largest window needs, so a row never holds more than a piece
+and its windows, and a long text costs in proportion to its length.
 
 Templates are a dictionary on the driver and small by nature; they become literals of the plan.
 
@@ -27,6 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K, BANDS, PERCENT = 5, 10, 80
+#: Shingles at which windows of one piece begin.
+PIECE = 2048
 
 # Notices of common licenses, as they are published.
 TEMPLATES = {
@@ -78,19 +82,30 @@ def with_shingles(rows: DataFrame) -> DataFrame:
     return cut.select(*keys, F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("words", i, K), " "))).alias("h"))
 
 
-def minhashes(window: Column) -> Column:
+def band_marks(shingles: Column) -> Column:
+    """Of every band the marks of all shingles; the least of a window's is its MinHash."""
+
     def band(b: int) -> Column:
-        return F.array_min(F.transform(window, lambda x: F.xxhash64(x, F.lit(b))))
+        return F.transform(shingles, lambda x: F.xxhash64(x, F.lit(b)))
 
-    return F.array(*(band(b) for b in range(BANDS)))
+    return F.array(*map(band, range(BANDS)))
 
 
-def _window_starts(m: int) -> Column:
-    """[(m, start, size)] of the grid windows of one template size that hold a hit."""
+def _windows(m: int, grams: list[int], known: list[int]) -> Column:
+    """[(m, start, window, bands)] of the grid windows of one template size that begin in a piece, hold one of the
+    n-grams of templates of that size, and have a MinHash of theirs. The piece's column h begins at shingle base of
+    the text, marks are its band marks."""
     hop = max(1, m // 4)
     size = m + hop - 1
-    grid = F.flatten(F.transform("hits", lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p - size + 1) / hop)).cast("int"), F.floor(p / hop).cast("int"))))
-    return F.transform(F.array_distinct(grid), lambda j: F.struct(F.lit(m).alias("m"), (j * hop).alias("start"), F.lit(size).alias("size")))
+    first = lambda p: F.greatest(F.ceil(F.col("base") / hop), F.ceil((F.col("base") + p - size + 1) / hop)).cast("int")
+    last = lambda p: F.least(F.floor((F.col("base") + PIECE - 1) / hop), F.floor((F.col("base") + p) / hop)).cast("int")
+    hits = F.filter(F.transform("h", lambda x, i: F.when(x.isin(grams), i)), lambda i: i.isNotNull())
+    grid = F.flatten(F.transform(hits, lambda p: F.when(first(p) <= last(p), F.sequence(first(p), last(p))).otherwise(F.array().cast("array<int>"))))
+    window = lambda c, j: F.slice(c, (j * hop - F.col("base") + 1).cast("int"), size)
+    bands = lambda j: F.transform("marks", lambda x: F.array_min(window(x, j)))
+    hashed = F.transform(F.array_distinct(grid), lambda j: F.struct(j.alias("j"), bands(j).alias("bands")))
+    colliding = F.filter(hashed, lambda w: F.exists(w.bands, lambda x: x.isin(known)))
+    return F.transform(colliding, lambda w: F.struct(F.lit(m).alias("m"), (w.j * hop).alias("start"), window("h", w.j).alias("window"), w.bands.alias("bands")))
 
 
 def _template_rows(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -105,21 +120,26 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percen
     if short:
         raise ValueError(f"templates need {K} words: {short}")
     spark = docs.sparkSession
-    known = _template_rows(spark, templates).collect()
+    table = _template_rows(spark, templates).select("template_id", "t_set", "m", F.posexplode(F.transform(band_marks(F.col("t_set")), F.array_min)).alias("band", "mark"))
+    known = table.select("t_set", "m", "mark").collect()
     sizes = sorted({r.m for r in known})
-    grams = F.array(*(F.lit(x) for x in sorted({x for r in known for x in r.t_set})))
+    of_size = {m: sorted({x for r in known if r.m == m for x in r.t_set}) for m in sizes}
+    grams = sorted({x for xs in of_size.values() for x in xs})
     words = sorted({w for v in templates.values() for w in required(v, percent)})
     # One pass over the text for all words: functions that change case cost more than the search.
     start = "\\b" if all(w[:1].isalnum() and w.isascii() for w in words) else ""
     pattern = f"(?i){start}(?:" + "|".join(re.sub("([^a-z0-9])", r"\\\1", w) for w in words) + ")"
     likely = docs.select("doc_id", "text").where(F.lit(False) if not words else F.lit(True) if "" in words else F.col("text").rlike(pattern))
     hashed = with_shingles(likely.select("doc_id", F.xxhash64("text").alias("_t"), "text"))
-    marked = F.transform("h", lambda x, i: F.when(F.array_contains(grams, x), i))
-    hits = hashed.select("doc_id", "_t", "h", F.filter(marked, lambda i: i.isNotNull()).alias("hits"))
-    windows = hits.select("doc_id", "_t", "h", F.explode(F.flatten(F.array(*(_window_starts(m) for m in sizes)))).alias("w")).where("w.start < size(h)")
-    windows = windows.select("doc_id", "_t", "w.m", "w.start", F.array_distinct(F.slice("h", F.col("w.start") + 1, F.col("w.size"))).alias("window"))
-    banded = windows.select("*", F.posexplode(minhashes(F.col("window"))).alias("band", "mark"))
-    table = _template_rows(spark, templates).select("template_id", "t_set", "m", F.posexplode(minhashes(F.col("t_set"))).alias("band", "mark"))
+    # Outer explodes: for inner ones the optimizer infers a filter on their size, pushes it down and computes all anew.
+    most = max((m + max(1, m // 4) - 1 for m in sizes), default=1)
+    bases = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1, F.lit(PIECE)))
+    cut = F.transform(bases, lambda b: F.struct(b.alias("base"), F.slice("h", b + 1, F.lit(PIECE + most - 1)).alias("h")))
+    pieces = hashed.select("doc_id", "_t", F.explode_outer(cut).alias("p")).select("doc_id", "_t", "p.base", "p.h")
+    hits = pieces.where(F.exists("h", lambda x: x.isin(grams))).select("*", band_marks(F.col("h")).alias("marks"))
+    collide = {m: sorted({r.mark for r in known if r.m == m}) for m in sizes}
+    windows = hits.select("doc_id", "_t", F.explode_outer(F.flatten(F.array(*(_windows(m, of_size[m], collide[m]) for m in sizes)))).alias("w")).where("w is not null").select("doc_id", "_t", "w.*")
+    banded = windows.select("doc_id", "_t", "m", "start", "window", F.posexplode("bands").alias("band", "mark"))
     # The template table holds BANDS rows for each entry of a driver-side dictionary.
     pairs = banded.join(F.broadcast(table), ["m", "band", "mark"])
     held = F.size(F.array_intersect("window", "t_set"))
