@@ -5,13 +5,15 @@ quoted passages. Passages, their paragraphs and their lines are normalised (whit
 lower case, trimmed), hashed, and looked up among the units of any length that earlier messages of the
 same conversation wrote themselves: of equal units the latest before the quoting turn counts, found in
 spans of ``SPAN`` turns and then over spans, so a line said and quoted often makes no square of pairs. The parent of a message is the origin of its first level-1 passage
-that has one (longest unit first, then the latest message); following parents gives the root. Ordered by
-(conv_id, root_turn, turn), messages stand in reply order, each with its quotes taken out, so
-no conversation is ever gathered in one row or task.
+that has one (longest unit first, then the latest message). Parents make trees of replies; the walk that
+enters and leaves every message of a tree, replies in order of turn, is ranked as a list by pointer jumping,
+which gives root, depth and place in reply order at once. Ordered by (conv_id, root_turn, reply_order), each
+message stands behind the one it answers and all the answers to earlier answers, with its quotes taken out, so
+conversations are built without gathering one in a row or task.
 
 Defined cases: null texts have an empty body and no quotes; messages with a null conversation or
-turn, and quotes of nothing said before, get no parent and are their own root; repeated rows get
-equal rows; a passage never links to its own or a later turn; extra columns aren't read; an empty
+turn, and quotes of nothing said before, get no parent and are their own root; different messages of one turn
+share root, depth and place, after the latest of their parents; repeated rows get equal rows; a passage never links to its own or a later turn; extra columns aren't read; an empty
 table gives an empty table.
 """
 
@@ -82,31 +84,57 @@ def linked_passages(messages: DataFrame) -> DataFrame:
     return found.groupBy("mid", "conv_id", "turn", "level", "first").agg(F.max(F.struct(F.length("unit"), "said_turn")).getField("said_turn").alias("parent"))
 
 
-def roots(parents: DataFrame) -> DataFrame:
-    """conv_id, turn, root of messages with a parent, by pointer jumping."""
-    now = written(parents.select("conv_id", "turn", F.col("parent").alias("root")), "roots")
-    while True:
-        up = now.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("above"))
-        after = written(now.join(up, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots")
-        moved = after.where("moved").limit(1).count()
+def _next_sibling(kids: DataFrame) -> DataFrame:
+    """conv_id, turn, parent, next: the next turn with the same parent, found in spans of turns and then over spans."""
+    rows = kids.withColumn("span", F.floor(F.col("turn") / SPAN))
+    near = rows.withColumn("near", F.lead("turn").over(Window.partitionBy("conv_id", "parent", "span").orderBy("turn")))
+    first = rows.groupBy("conv_id", "parent", "span").agg(F.min("turn").alias("first"))
+    far = first.withColumn("far", F.lead("first").over(Window.partitionBy("conv_id", "parent").orderBy("span"))).drop("first")
+    return near.join(far, ["conv_id", "parent", "span"]).select("conv_id", "turn", "parent", F.coalesce("near", "far").alias("next"))
+
+
+def reply_order(parents: DataFrame) -> DataFrame:
+    """conv_id, turn, root_turn, depth, reply_order of all messages of parents(conv_id, turn, parent) and of their
+    roots. Every message is entered and left once; a step leads from one event to the next, and each round of
+    jumping doubles the steps, while the events passed are counted."""
+    kids = written(_next_sibling(parents.select("conv_id", "turn", "parent")), "replies")
+    tops = kids.select("conv_id", F.col("parent").alias("turn")).distinct().join(kids, ["conv_id", "turn"], "left_anti")
+    nodes = kids.unionByName(tops, allowMissingColumns=True)
+    first = kids.groupBy("conv_id", F.col("parent").alias("turn")).agg(F.min("turn").alias("child"))
+    event = lambda turn, side: F.struct(turn.alias("turn"), F.lit(side).alias("side"))
+    enter = nodes.join(first, ["conv_id", "turn"], "left").select("conv_id", event(F.col("turn"), 0).alias("at"), F.when(F.col("child").isNotNull(), event(F.col("child"), 0)).otherwise(event(F.col("turn"), 1)).alias("to"))
+    leave = nodes.select("conv_id", event(F.col("turn"), 1).alias("at"), F.when(F.col("next").isNotNull(), event(F.col("next"), 0)).when(F.col("parent").isNotNull(), event(F.col("parent"), 1)).alias("to"))
+    walk = enter.unionByName(leave).select("conv_id", "at", "to", F.col("at.turn").alias("end"), (1 - F.col("at.side")).cast("long").alias("entered"), F.col("at.side").cast("long").alias("left"))
+    now = written(walk, "walk")
+    while now.where("to is not null").limit(1).count():
+        ahead = now.select("conv_id", F.col("at").alias("to"), F.col("to").alias("to_"), F.col("end").alias("end_"), F.col("entered").alias("entered_"), F.col("left").alias("left_"))
+        add = lambda c: (F.col(c) + F.coalesce(f"{c}_", F.lit(0))).alias(c)
+        after = written(now.join(ahead, ["conv_id", "to"], "left").select("conv_id", "at", F.col("to_").alias("to"), F.coalesce("end_", "end").alias("end"), add("entered"), add("left")), "walk")
         drop_written(now)
-        now = after.select("conv_id", "turn", "root")
-        if not moved:
-            return now
+        now = after
+    entered = now.where("at.side = 0").select("conv_id", F.col("at.turn").alias("turn"), F.col("end").alias("root_turn"), (F.col("left") - F.col("entered")).alias("depth"), "entered")
+    whole = entered.where("turn = root_turn").select("conv_id", "root_turn", F.col("entered").alias("size"))
+    return entered.join(whole, ["conv_id", "root_turn"]).select("conv_id", "turn", "root_turn", "depth", (F.col("size") - F.col("entered")).alias("reply_order"))
 
 
 def format_conversations(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, body, n_quotes, n_linked, parent_turn, root_turn, chat of every message."""
+    """conv_id, turn, role, body, n_quotes, n_linked, parent_turn, root_turn, depth, reply_order, chat of every message."""
     rows = parsed(messages.select("conv_id", "turn", "role", "text"))
     links = written(linked_passages(rows), "quote-links")
     quotes = passages(rows).groupBy("mid").agg(F.count(F.lit(1)).alias("n_quotes"))
     linked = links.groupBy("mid").agg(F.count(F.lit(1)).alias("n_linked"))
     parent = links.where("level = 1").groupBy("mid", "conv_id", "turn").agg(F.min_by("parent", "first").alias("parent_turn"))
-    root = roots(parent.groupBy("conv_id", "turn").agg(F.max("parent_turn").alias("parent"))).withColumnRenamed("root", "found")
-    out = rows.join(quotes, "mid", "left").join(linked, "mid", "left").join(parent.select("mid", "parent_turn"), "mid", "left").join(root, ["conv_id", "turn"], "left")
+    # Different messages of one turn share its place: the latest of their parents counts.
+    order = reply_order(parent.groupBy("conv_id", "turn").agg(F.max("parent_turn").alias("parent"))).withColumnRenamed("root_turn", "root")
+    out = rows.join(quotes, "mid", "left").join(linked, "mid", "left").join(parent.select("mid", "parent_turn"), "mid", "left").join(order, ["conv_id", "turn"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(
-        "conv_id", "turn", "role", "body",
-        F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
-        "parent_turn", F.when(F.col("parent_turn").isNull(), F.col("turn")).otherwise(F.col("found")).alias("root_turn"),
+        "conv_id", "turn", "role", "body", zero("n_quotes"), zero("n_linked"), "parent_turn", F.coalesce("root", "turn").alias("root_turn"), zero("depth"), zero("reply_order"),
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("body"), F.lit("\n<|end|>\n")).alias("chat"),
     )
+
+
+def ordered(formatted: DataFrame) -> DataFrame:
+    """Formatted messages in order of conversation, thread and reply, dealt by range, so that files hold
+    conversations one message behind the other, however long they are."""
+    return formatted.orderBy("conv_id", "root_turn", "reply_order", "turn", "role", "body")
