@@ -30,6 +30,8 @@ def test_codes_round_trip_and_random_access():
             segment = dac.Segment(dac.encode(ids))
             assert (segment.decode() == ids).all() and len(segment) == n
             assert all(segment.access(i) == ids[i] for i in range(0, n, 97))
+            places = rng.integers(0, n, 50) if n else np.zeros(0, np.int64)
+            assert (segment.take(places) == ids[places]).all()
     with pytest.raises(ValueError):
         dac.Segment(b"xxxx")
 
@@ -48,6 +50,31 @@ def test_token_file(spark, docs, rows):
     assert sorted(key(r.doc_id, np.frombuffer(r.ids, "<u4")) for r in got) == sorted(key(r[0], coder.whole(r[1] or "") + [1]) for r in rows)
 
 
+def test_one_token_costs_a_chunk_a_level(spark, docs, rows):
+    path = dac.token_file(spark, "ranged")
+    dac.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1, segment_tokens=700)
+    coder = Encoder.at(public_tokenizers.path("word_bpe_49k.json"))
+    seen = {}
+    for r in rows:
+        seen.setdefault(r[0], set()).add(tuple(coder.whole(r[1] or "") + [1]))
+    for doc in sorted((d for d in seen if d is not None and len(seen[d]) == 1), key=str)[::9]:
+        ids = next(iter(seen[doc]))
+        file, at, head, n = dac.open_document(spark, path, doc)
+        assert n == len(ids)
+        for i in {0, n - 1, n // 2}:
+            with dac.RangedFile(spark, file) as source:
+                assert dac.access(lambda place, size: source.read(at + place, size), head + i) == ids[i]
+                assert source.bytes_read <= 8 + 2 * (8 + 1 + 4 + dac.BLOCK // 8)
+    assert dac.read_token(spark, path, 5, 0) == coder.whole(dict((r[0], r[1]) for r in rows)[5])[0]
+    with pytest.raises(IndexError):
+        dac.read_token(spark, path, 5, 10_000)
+    with pytest.raises(KeyError):
+        dac.read_token(spark, path, 123_456, 0)
+    for r in dac.read_documents(spark, path).collect():
+        ids = np.frombuffer(r.ids, "<u4")
+        assert (r.first_id, r.last_id) == (ids[0], ids[-1])
+
+
 def test_token_file_of_nothing(spark, empty):
     path = dac.token_file(spark, "none")
     dac.write_tokens(empty, path, public_tokenizers.path("word_bpe_49k.json"))
