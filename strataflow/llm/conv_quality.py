@@ -6,14 +6,15 @@ max-pooled in chunks of ``CHUNK`` bytes that overlap by half and cover the whole
 from its rectified maxima, and the mean of the logits, shifted by the log odds of the classes over
 all training labels, becomes one probability.
 
-The network is fitted on the driver on at most ``SAMPLE`` labelled documents of each class, the ones
-least by a hash of their id, of at most ``SAMPLE_BYTES`` bytes each; that is the only bounded step. Rows with
+The network is fitted on the driver on at most ``SAMPLE`` labelled documents of each class, of those with at
+most ``SAMPLE_BYTES`` bytes the ones least by a hash of their id; that is the only bounded step. Rows with
 crc32(doc_id) mod 5 = 0 are held out. Scores depend on the text alone.
 
 Defined cases: null and empty texts are scored as one chunk of padding; texts shorter than a filter
 are padded; documents with a null id are scored and never held out; repeated rows get equal scores;
-without labels of both classes every score is the share of label 1 (0.5 without any); extra columns
-aren't read; an empty table gives an empty table.
+without labels of both classes every score is the share of label 1 (0.5 without any); an id that is labelled
+both 0 and 1 teaches nothing and doesn't count; of several documents with one labelled id the one with the
+least text hash, then text, is learned; extra columns aren't read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import bounded_batches
 
 FILTERS, WIDTH, STEP, CHUNK = 32, 8, 4, 512
 HALF = CHUNK // 2
@@ -158,13 +160,15 @@ def fit(texts: list[str | None], labels: np.ndarray, ones: int, zeros: int) -> M
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on the labelled rows that aren't held out."""
     mine = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~held_out())
+    mine = mine.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     counts = {r[0]: r[1] for r in mine.groupBy("quality").count().collect()}
-    order = F.xxhash64("doc_id")
-    picked = mine.where("quality = 0").orderBy(order, "doc_id").limit(sample).union(mine.where("quality = 1").orderBy(order, "doc_id").limit(sample))
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    fit_for = mine.join(texts.select("doc_id"), "doc_id", "left_semi")
+    picked = fit_for.where("quality = 0").orderBy(*order).limit(sample).union(fit_for.where("quality = 1").orderBy(*order).limit(sample))
     # The sample holds 2 * sample ids at most, whatever the tables hold.
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r[0])
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).getField("text").alias("text"))
+    rows = sorted(rows.select("doc_id", "text", "quality").collect(), key=lambda r: r[0])
     return fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), counts.get(1, 0), counts.get(0, 0))
 
 
@@ -176,5 +180,6 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             score = score_texts(model, b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", held_out().alias("held_out")).select("doc_id", "text", "held_out").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")

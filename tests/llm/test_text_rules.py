@@ -144,7 +144,7 @@ def test_short_quoted_lines_link_to_the_latest_that_said_them(spark):
 
 
 def test_native_operators_run_no_python(spark, docs):
-    for df in (license_scan.scan_licenses(docs), quote_chat.format_conversations(chats(spark))):
+    for df in (license_scan.scan_licenses(docs), quote_chat.format_conversations(chats(spark)), quote_chat.ordered(quote_chat.format_conversations(chats(spark)))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
 
 
@@ -195,3 +195,77 @@ def test_conv_quality_learns_and_holds_out(spark, empty):
     assert conv_quality.score_documents(empty, model).count() == 0
     none = conv_quality.train(docs, marks.where("quality = 1"))
     assert abs(conv_quality.score_texts(none, pa.array(["a", None]))[0] - 0.99) < 0.02
+
+
+def test_long_license_texts_are_cut_into_pieces(spark, monkeypatch):
+    notice = license_scan.TEMPLATES["gpl-notice"]
+    text = " ".join(["word"] * 37 + [license_scan.TEMPLATES["mit-line"]] + ["filler"] * 211 + [notice])
+    rows = [(i, " ".join(["lead"] * i + [text] * 3)) for i in range(0, 70, 7)]
+    want = None
+    for piece in (1 << 20, 2048, 64, 17):
+        monkeypatch.setattr(license_scan, "PIECE", piece)
+        got = sorted(map(tuple, license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+        want = want or got
+        assert got == want and len(got) == 2 * len(rows)
+
+
+def brute_score(model, text):
+    """The forward pass, one window at a time."""
+    import numpy as np
+
+    c = conv_quality
+    raw = (text or "").encode()
+    halves = max(2, -(-len(raw) // c.HALF))
+    raw += bytes(halves * c.HALF + c.WIDTH - len(raw))
+    top = [np.max([sum(model.tables[j][raw[p + j]] for j in range(c.WIDTH)) for p in range(h * c.HALF, (h + 1) * c.HALF, c.STEP)], axis=0) for h in range(halves)]
+    logits = [np.maximum(np.maximum(a, b) + model.bias, 0) @ model.out for a, b in zip(top, top[1:])]
+    return 1 / (1 + np.exp(-(np.mean(logits) + model.offset + model.log_odds)))
+
+
+def test_scores_against_a_plain_forward_pass(rows):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    texts = [r[1] for r in rows[:40]] + ["x", None, "", "é" * 700, "ab " * 1000]
+    model = conv_quality.fit([t or "" for t in texts], np.arange(len(texts)) % 2, 20, 30)
+    model.out = model.out + rng.normal(0, 0.3, model.out.shape).astype(np.float32)
+    got = conv_quality.score_texts(model, pa.array(texts, pa.string()))
+    assert np.allclose(got, [brute_score(model, t) for t in texts], atol=1e-4) and got.std() > 0.01
+
+
+def test_training_does_not_depend_on_partitions_or_conflicts(spark):
+    rows = [(i % 60, f"text {i} " + ("good words here " if i % 2 else "### $$$ ") * 9) for i in range(120)] + [(70, "long " * 40_000)]
+    labels = [(i, i % 2) for i in range(60)] + [(7, 0), (8, 1), (70, 1), (None, 1), (9, None), (10, 5)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    one = conv_quality.train(docs.repartition(1), marks, sample=10)
+    many = conv_quality.train(docs.repartition(7, "text"), marks.repartition(5), sample=10)
+    assert (one.tables == many.tables).all() and one.log_odds == many.log_odds and one.offset == many.offset
+
+
+def brute_verdict(text):
+    """kept, ratio and bad chunks by the tables of the rules, one call at a time."""
+    import zstandard
+
+    raw = (text or "").encode()
+    size = lambda b: len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False).compress(b)) / len(b)
+    if not raw:
+        return False, None, 0
+    cuts = [raw[i : i + 2048] for i in range(0, len(raw), 2048)]
+    if len(cuts) > 1 and len(cuts[-1]) < 1024:
+        cuts[-2:] = [cuts[-2] + cuts[-1]]
+    bad = sum(not 0.45 <= size(c) <= 0.75 for c in cuts) if len(cuts) > 1 else 0
+    low, high = next((lo, hi) for below, lo, hi in quality_rules.BANDS if len(raw) < below)
+    return not brute_rules(text)[5] and low <= size(raw) <= high and bad <= 0.25 * len(cuts), size(raw), bad
+
+
+def test_verdicts_against_brute_force(spark, docs, rows):
+    import base64
+    import random
+
+    rng = random.Random(2)
+    noise = [(1, base64.b64encode(rng.randbytes(n)).decode()) for n in (60, 900, 9000)] + [(2, "the same sentence again " * 40), (3, " ".join(str(rng.random()) for _ in range(900)))]
+    frame = spark.createDataFrame([*((r[0], r[1]) for r in rows), *noise, *((r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())], "doc_id long, text string")
+    plain = lambda k, z, n: (bool(k), None if z is None else round(z, 9), n)
+    got = sorted(map(str, (plain(r.kept, r.zstd_ratio, r.n_bad_chunks) for r in quality_rules.score_documents(frame).collect())))
+    want = [plain(*brute_verdict(r.text)) for r in frame.collect()]
+    assert got == sorted(map(str, want)) and 50 < sum(k for k, _, _ in want) < len(want) - 5
