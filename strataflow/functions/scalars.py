@@ -30,7 +30,11 @@ def safe_name(name: Column) -> Column:
     return F.when(base == "", "video").otherwise(base)
 
 
-def display_name(name: Column, suffix: str = "_restored.mp4") -> Column:
+# Fixed value: what a processed file's name ends with.
+SUFFIX = "_sans_filigrane.mp4"
+
+
+def display_name(name: Column, suffix: str = SUFFIX) -> Column:
     return F.concat(safe_name(name), F.lit(suffix))
 
 
@@ -57,6 +61,42 @@ def duration_text(ms: Column) -> Column:
     return F.concat(F.format_string("%02d", F.floor(s / 60)), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
 
 
+# Labels of the methods.
+LABELS = {"INPAINT": "Reconstruction", "BLUR": "Blur", "PIXELATE": "Pixelate", "CROP": "Crop"}
+
+
+def method_label(method: Column) -> Column:
+    return F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))[method]
+
+
+def size_text(size: Column) -> Column:
+    """A size in units of 1000 with about two digits, a unit up from 900 on."""
+    value, unit = size.cast("double"), F.lit("B")
+    for step, name in enumerate(("kB", "MB", "GB", "TB", "PB"), 1):
+        unit = F.when(size.cast("double") > 900 * 1000.0 ** (step - 1), name).otherwise(unit)
+        value = F.when(size.cast("double") > 900 * 1000.0 ** (step - 1), size / 1000.0**step).otherwise(value)
+    digits = F.when((unit == "B") | (value >= 10), F.format_string("%.0f", value)).when(value < 1, F.format_string("%.2f", value)).otherwise(F.format_string("%.1f", value))
+    return F.concat_ws(" ", digits, unit)
+
+
+def relative_date(millis: Column, now: Column) -> Column:
+    """Empty without a date; minutes, hours and days ago within a week, then the day (UTC)."""
+    minutes = F.floor((now - millis) / 60_000)
+    ago = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(millis / 86_400_000).cast("int")), "yyyy-MM-dd")
+    text = F.when(minutes < 60, ago(F.greatest(minutes, F.lit(0)), "minute")).when(minutes < 1440, ago(F.floor(minutes / 60), "hour")).when(minutes < 10_080, ago(F.floor(minutes / 1440), "day"))
+    return F.when(F.coalesce(millis, F.lit(0)) <= 0, "").otherwise(F.coalesce(text, day))
+
+
+def bitrate_label(bits: Column) -> Column:
+    return F.format_string("%.0f Mb/s", bits / 1_000_000.0)
+
+
+def name_and_size(name: Column, size: Column) -> Column:
+    """What a content provider tells, with its defaults."""
+    return F.struct(F.coalesce(name, F.lit("video.mp4")).alias("name"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
+
+
 def trusted_url(url: Column, host: str = "github.com") -> Column:
     return F.coalesce((F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & (F.lower(F.try_parse_url(url, F.lit("HOST"))) == host), F.lit(False))
 
@@ -159,7 +199,7 @@ def target_bitrate(width: Column, height: Column, fps: Column, source: Column, q
 
 
 def bitrate_or_derived(bitrate: Column, size: Column, duration_ms: Column) -> Column:
-    return F.when(bitrate > 0, bitrate.cast("long")).when(duration_ms > 0, F.least(F.floor(size * 8000 / duration_ms), F.lit(2147483647))).otherwise(F.lit(0))
+    return F.when(bitrate > 0, bitrate.cast("long")).when(duration_ms > 0, F.least(F.floor(size.cast("long") * 8000 / duration_ms), F.lit(2147483647))).otherwise(F.lit(0))
 
 
 def display_size(width: Column, height: Column, rotation: Column) -> Column:
@@ -167,6 +207,40 @@ def display_size(width: Column, height: Column, rotation: Column) -> Column:
     return F.struct(F.when(turned, height).otherwise(width).alias("width"), F.when(turned, width).otherwise(height).alias("height"))
 
 
+def container_info(width: Column, height: Column, rotation: Column, duration_ms: Column, size: Column, bitrate: Column, frame_rate: Column) -> Column:
+    """Metadata texts of a container with their defaults; null without a video track."""
+    number = lambda c, kind: F.coalesce(F.when(c.rlike("^[+-]?[0-9]+$"), c.try_cast(kind)), F.lit(0))
+    w, h, ms, rate = number(width, "int"), number(height, "int"), number(duration_ms, "long"), number(bitrate, "int")
+    known = F.when((rate > 0) | (size <= 0) | (ms <= 0), rate.cast("long")).otherwise(bitrate_or_derived(rate, size, ms))
+    fields = {"width": w, "height": h, "rotation": F.pmod(number(rotation, "int"), F.lit(360)), "duration_ms": ms, "bitrate": known, "frame_rate": F.coalesce(frame_rate.try_cast("float"), F.lit(0.0))}
+    return F.when((w > 0) & (h > 0), F.struct(*(c.alias(k) for k, c in fields.items())))
+
+
+def bounded_size(width: Column, height: Column, most: int, least: int = 1) -> Column:
+    """Size scaled down to a largest side of ``most``, rounded down; as it is where it is small enough."""
+    largest = F.greatest(width, height)
+    side = lambda n: F.when(largest <= most, n).otherwise(F.greatest(F.floor(n.cast("long") * most / largest), F.lit(least))).cast("int")
+    return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+def thumbnail(width: Column, height: Column, duration_ms: Column) -> Column:
+    """Where a thumbnail is taken (a quarter of the way, in microseconds) and its size (512 at most)."""
+    return F.struct(F.floor(duration_ms.cast("long") * 1000 / 4).alias("time_us"), bounded_size(width, height, 512, 0).alias("size"))
+
+
+def texture_scale(width: Column, height: Column, y_up: Column) -> Column:
+    return F.struct(width.cast("double").alias("x"), F.when(y_up, -height).otherwise(height).cast("double").alias("y"))
+
+
+def byte_clamp(v: Column) -> Column:
+    return F.least(v, F.lit(255)).cast("int")
+
+
+def uses_shader(method: Column) -> Column:
+    """Whether a method is drawn by the spatial kernels: all but CROP, whose number is negative."""
+    return F.coalesce(F.when(method == "BLUR", 1).when(method == "PIXELATE", 2).when(method == "INPAINT", 0).otherwise(-1) >= 0, F.lit(False))
+
+
 def feather_units(inpaint: Column, feather: Column, width: Column, height: Column) -> Column:
     pixels = F.when(inpaint, F.lit(2.5)).otherwise(feather * 0.03 * F.least(width, height))
     return F.when((width <= 0) | (height <= 0), F.lit(0.0)).otherwise(pixels / F.greatest(width, height))

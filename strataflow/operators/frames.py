@@ -86,3 +86,19 @@ def nearest_frames(targets: DataFrame, frames: DataFrame, keys: list[str]) -> Da
     rows = rows.withColumn("before", F.last("pts", True).over(back)).withColumn("after", F.first("pts", True).over(ahead)).where("pts is null")
     nearer = F.when(F.col("before").isNull() | (F.col("after") - F.col("target") < F.col("target") - F.col("before")), F.col("after")).otherwise(F.col("before"))
     return rows.select(*keys, "target", nearer.alias("pts"))
+
+
+def ring(rows: DataFrame, width: int, height: int, border: int) -> DataFrame:
+    """Pixels within ``border`` of the frame's edge."""
+    x, y = F.col("x"), F.col("y")
+    return rows.where((x < border) | (x >= width - border) | (y < border) | (y >= height - border))
+
+
+def enough_samples(sync: DataFrame, exact: DataFrame, keys: list[str], least: int = 8) -> DataFrame:
+    """Sampled frames (keys, t, digest): those of the fast pass, and the exact ones too where the fast pass found too few
+    different pictures. Of equal pictures the first counts, the fast pass's before the exact one's."""
+    one = sync.withColumn("_pass", F.lit(0))
+    found = one.groupBy(*keys).agg(F.count_distinct("digest").alias("_n"))
+    few = exact.join(found, keys, "left").where(F.coalesce("_n", F.lit(0)) < least).drop("_n").withColumn("_pass", F.lit(1))
+    best = one.unionByName(few).groupBy(*keys, "digest").agg(F.min(F.struct("_pass", "t")).alias("_b"))
+    return best.select(*keys, F.col("_b.t").alias("t"), "digest")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import is_newer, trusted_url
+
 BUDGET_BYTES, MAX_PIXELS = 96 << 20, 800_000
 
 
@@ -35,14 +37,44 @@ def hit_test(zones: DataFrame, keys: list[str], x: float, y: float, radius: floa
     return top_k(rows, keys, [F.col("_rank"), F.desc("pos")], 1).select(*keys, "pos", F.col("_rank").alias("part"))
 
 
-def latest_release(feed: Column, host: str) -> Column:
-    """(version, url, size) of a release feed's JSON: no drafts or pre-releases, the last .apk asset from
-    the trusted host over https."""
-    f = F.from_json(feed, "tag_name string, draft boolean, prerelease boolean, assets array<struct<name: string, browser_download_url: string, size: bigint>>")
-    good = F.filter(f.assets, lambda a: a.getField("name").endswith(".apk") & a.getField("browser_download_url").startswith(f"https://{host}/"))
-    last = F.try_element_at(good, F.lit(-1))
-    usable = ~F.coalesce(f.draft, F.lit(False)) & ~F.coalesce(f.prerelease, F.lit(False)) & last.isNotNull()
-    return F.when(usable, F.struct(F.regexp_replace(f.tag_name, "^v", "").alias("version"), last.browser_download_url.alias("url"), last.getField("size").alias("size")))
+def latest_release(feed: Column, host: str, current: Column) -> Column:
+    """(version, url, page, size, digest_url) of a release feed's JSON: no drafts or pre-releases, newer than the
+    current version, with the last .apk asset and the last .apk.sha256 asset from the trusted host over https; the
+    page where there is no asset."""
+    f = F.from_json(feed, "tag_name string, html_url string, draft boolean, prerelease boolean, assets array<struct<name: string, browser_download_url: string, size: bigint>>")
+    assets = F.coalesce(f.assets, F.array().cast("array<struct<name: string, browser_download_url: string, size: bigint>>"))
+    named = lambda end: F.filter(assets, lambda a: F.lower(a.getField("name")).endswith(end))
+    package = F.try_element_at(F.filter(named(".apk"), lambda a: trusted_url(a.browser_download_url, host)), F.lit(-1))
+    digest = F.try_element_at(named(".apk.sha256"), F.lit(-1)).browser_download_url
+    version = F.regexp_replace(F.coalesce(f.tag_name, F.lit("")), "^v", "")
+    usable = ~F.coalesce(f.draft, F.lit(False)) & ~F.coalesce(f.prerelease, F.lit(False)) & (F.trim(version) != "") & is_newer(version, current)
+    page = F.coalesce(f.html_url, F.lit(""))
+    return F.when(
+        usable,
+        F.struct(
+            version.alias("version"), F.coalesce(package.browser_download_url, page).alias("url"), page.alias("page"), F.coalesce(package.getField("size"), F.lit(0)).alias("size"),
+            F.when(package.isNotNull() & trusted_url(digest, host), digest).alias("digest_url"),
+        ),
+    )
+
+
+UPDATE = "version string, apk string, page string, size bigint, sha string"
+
+
+def encode_update(version: Column, apk: Column, page: Column, size: Column, sha: Column) -> Column:
+    return F.to_json(F.struct(version.alias("version"), apk.alias("apk"), page.alias("page"), size.cast("long").alias("size"), sha.alias("sha")))
+
+
+def decode_update(json: Column) -> Column:
+    """A cached update; null without version, package or page. A digest counts only with its 64 characters."""
+    u = F.from_json(json, UPDATE)
+    got = F.struct(u.version.alias("version"), u.apk.alias("apk"), u.page.alias("page"), F.coalesce(u.getField("size"), F.lit(0)).alias("size"), F.when(F.length(u.sha) == 64, u.sha).alias("sha"))
+    return F.when(u.version.isNotNull() & u.apk.isNotNull() & u.page.isNotNull(), got)
+
+
+def still_valid(update: Column, current: Column, host: str) -> Column:
+    """Whether a cached update is still newer than what runs, and from the trusted host."""
+    return F.coalesce(is_newer(update.version, current) & trusted_url(update.apk, host), F.lit(False))
 
 
 def cached_or_fetched(cached: Column, fetched: Column, age_ms: Column, force: Column, ttl_ms: int = 21_600_000) -> Column:
@@ -61,12 +93,32 @@ def two_blocks(stats: DataFrame, keys: list[str], least: int = 80) -> DataFrame:
     return pair.select(*keys, fits.alias("joined"))
 
 
-def adopt_union(masks: DataFrame, keys: list[str]) -> DataFrame:
-    """Whether the union of two masks (m1, m2) replaces the first: it grows, by less than 1.8 times, past 15 %,
-    and stays under half of the pixels."""
+def adopt_union(masks: DataFrame, keys: list[str], parts: DataFrame | None = None) -> DataFrame:
+    """Whether the union of two masks (m1, m2) replaces the first: it grows, by less than 1.8 times, stays under half
+    of the pixels, and passes 15 % or has fewer components; parts (keys, parts_before, parts_after) counts these."""
     got = masks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("m1").alias("before"), F.sum(F.greatest("m1", "m2")).alias("after"))
-    grows = (F.col("after") > F.col("before") * 1.15) & (F.col("after") < F.col("before") * 1.8) & (F.col("after") < F.col("n") * 0.5)
-    return got.select(*keys, "before", "after", grows.alias("adopted"))
+    joins = F.lit(False)
+    if parts is not None:
+        got = got.join(parts, keys, "left")
+        joins = F.coalesce(F.col("parts_after") < F.col("parts_before"), F.lit(False))
+    fits = (F.col("after") > F.col("before")) & (F.col("after") < F.col("before") * 1.8) & (F.col("after") < F.col("n") * 0.5)
+    return got.select(*keys, "before", "after", (fits & (joins | (F.col("after") > F.col("before") * 1.15))).alias("adopted"))
+
+
+def nearest_first(candidates: Column) -> Column:
+    """An array of structs in order of their field distance; equal distances keep their order."""
+    placed = F.transform(candidates, lambda x, i: F.struct(x.distance.alias("d"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(placed), lambda p: p.x)
+
+
+def blank_render(rendered: DataFrame, reference: DataFrame, keys: list[str], width: int, height: int, steps: int = 8) -> DataFrame:
+    """keys, blank: whether the probes of a grid, pixels (keys, y, x, v), are all 0 in what was rendered and not in what it
+    was rendered from."""
+    probes = lambda n: [n * (2 * i + 1) // (2 * steps) for i in range(steps)]
+    on_grid = F.col("x").isin(probes(width)) & F.col("y").isin(probes(height))
+    a = rendered.where(on_grid).groupBy(*keys).agg(F.bool_and(F.col("v") == 0).alias("_a"))
+    b = reference.where(on_grid).groupBy(*keys).agg(F.bool_and(F.col("v") == 0).alias("_b"))
+    return a.join(b, keys, "left").select(*keys, (F.col("_a") & ~F.coalesce("_b", F.lit(True))).alias("blank"))
 
 
 def best_chunk(chunks: DataFrame, keys: list[str]) -> DataFrame:

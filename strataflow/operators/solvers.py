@@ -6,12 +6,8 @@ depend on a pixel order.
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 
-from .components import FOUR
-
 
 def sine_basis(n: int) -> np.ndarray:
     k = np.arange(1, n + 1)
@@ -35,6 +31,13 @@ def _relax(u: np.ndarray, mask: np.ndarray, rhs: np.ndarray, mode: str, sweeps:
     ys, xs = np.nonzero(mask)
     if not len(ys):
         return u
+    h, w = mask.shape
+    box = slice(max(0, ys.min() - 1), min(h, ys.max() + 2)), slice(max(0, xs.min() - 1), min(w, xs.max() + 2))
+    if (box[0].stop - box[0].start, box[1].stop - box[1].start) != (h, w):  # beyond, nothing is read or changed
+        if mode == "edge" or not (ys.min() == 0 or xs.min() == 0 or ys.max() == h - 1 or xs.max() == w - 1):
+            out = u.copy()
+            out[box] = _relax(u[box], mask[box], rhs[box], mode, sweeps, tolerance)
+            return out
     extent = max(ys.max() - ys.min(), xs.max() - xs.min()) + 1
     omega = 2 / (1 + np.sin(np.pi / (extent + 1)))
     parity = np.add.outer(np.arange(u.shape[0]), np.arange(u.shape[1])) % 2
@@ -93,27 +96,43 @@ def dilate(mask: np.ndarray) -> np.ndarray:
     return np.any([p[1 + dy : 1 + dy + mask.shape[0], 1 + dx : 1 + dx + mask.shape[1]] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
 
 
+def fill_distances(fill: np.ndarray) -> np.ndarray:
+    """Steps left, right, up and down to the first pixel that isn't fill; 255 at most, 0 off the fill."""
+    out = np.zeros((4, *fill.shape), np.int32)
+    for k, (axis, back) in enumerate(((1, False), (1, True), (0, False), (0, True))):
+        f = np.flip(fill, axis) if back else fill
+        place = np.arange(f.shape[axis]).reshape((-1, 1) if axis == 0 else (1, -1))
+        last = np.maximum.accumulate(np.where(f, -1, place), axis=axis)
+        d = np.where(f, np.where(last >= 0, np.minimum(place - last, 255), 255), 0)
+        out[k] = np.flip(d, axis) if back else d
+    return out
+
+
 def soft_band(mask: np.ndarray, width: int = 3) -> np.ndarray:
     """Pixels within so many 4-connected steps outside the mask."""
     return flood(np.ones_like(mask), mask, width) & ~mask
 
 
 def nearest_clean(mask: np.ndarray) -> np.ndarray:
-    """Flat index of the nearest unmasked pixel by 4-connected steps; its own where all are masked."""
+    """Flat index of the nearest unmasked pixel by 4-connected steps; its own where all are masked. Among equally
+    near ones the one counts whose wave arrives first: waves start in raster order and spread left, right, up, down."""
     h, w = mask.shape
     out = np.arange(h * w)
     if mask.all():
         return out
     seen = ~mask.ravel()
-    queue = deque(np.flatnonzero(seen).tolist())
-    while queue:
-        p = queue.popleft()
-        y, x = divmod(p, w)
-        for dy, dx in FOUR:
-            if 0 <= y + dy < h and 0 <= x + dx < w and not seen[q := (y + dy) * w + x + dx]:
-                seen[q] = True
-                out[q] = out[p]
-                queue.append(q)
+    front = np.flatnonzero(seen)
+    while len(front):
+        y, x = np.divmod(front, w)
+        to = np.stack([np.where(x > 0, front - 1, -1), np.where(x < w - 1, front + 1, -1), np.where(y > 0, front - w, -1), np.where(y < h - 1, front + w, -1)], -1).ravel()
+        origin = np.repeat(out[front], 4)
+        open_ = (to >= 0) & ~seen[np.maximum(to, 0)]
+        to, origin = to[open_], origin[open_]
+        _, first = np.unique(to, return_index=True)
+        first.sort()
+        front = to[first]
+        out[front] = origin[first]
+        seen[front] = True
     return out
 
 
@@ -125,28 +144,23 @@ def _draws(p: int, n: int, below: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) % np.uint64(below)).astype(int)
 
 
-def patch_fill(image: np.ndarray, hole: np.ndarray, radius: int = 3, grid: int = 96, drawn: int = 20, least: int = 18, shift: float = 0.35) -> np.ndarray:
-    """Edge-first synthesis: hole pixels, nearest to the border of the hole first, copy the donor whose known
+def patch_fill(image: np.ndarray, hole: np.ndarray, radius: int = 3, grid: int = 96, drawn: int = 20, least: int = 18, shift: float = 0.35, base: np.ndarray | None = None) -> np.ndarray:
+    """Edge-first synthesis: hole pixels, in the order of their least distance to the border of the hole in a row or
+    column, copy the donor whose known
     surroundings differ least from theirs. Donors are the neighbours' donors, a fixed grid over all clean
-    pixels and some drawn by hash for each pixel; one too far from the harmonic colour is not taken."""
+    pixels and some drawn by hash for each pixel; one too far from the harmonic colour (or from ``base``) is not taken."""
     h, w = hole.shape
-    base = harmonic_fill(image, hole)
+    base = harmonic_fill(image, hole) if base is None else base
     out, known = base.copy(), ~hole
     clean = np.flatnonzero((~hole).ravel())
     step = max(1, len(clean) // grid)
     donors = clean[::step]
     source = np.full(h * w, -1)
-    depth = np.full((h, w), -1)
-    ring, k = ~hole, 0
-    while not ring.all():
-        grown = flood(np.ones_like(hole), ring, 1)
-        k += 1
-        depth[grown & ~ring] = k
-        ring = grown
+    depth = fill_distances(hole).min(axis=0).ravel()
     oy, ox = (o.ravel() for o in np.mgrid[-radius : radius + 1, -radius : radius + 1])
-    for p in sorted(np.flatnonzero(hole.ravel()).tolist(), key=lambda p: (depth.ravel()[p], p)):
+    for p in sorted(np.flatnonzero(hole.ravel()).tolist(), key=lambda p: (depth[p], p)):
         y, x = divmod(p, w)
-        near = [source[q] + p - q for dy, dx in FOUR if 0 <= y + dy < h and 0 <= x + dx < w and source[q := (y + dy) * w + x + dx] >= 0]
+        near = [source[q] + p - q for dy, dx in ((0, -1), (0, 1), (-1, 0), (1, 0)) if 0 <= y + dy < h and 0 <= x + dx < w and source[q := (y + dy) * w + x + dx] >= 0]
         tried = np.concatenate([np.array(near, int), donors, clean[_draws(p, drawn, len(clean))] if len(clean) else clean])
         tried = tried[(tried >= 0) & (tried < h * w)]
         tried = tried[~hole.ravel()[tried]]

@@ -57,3 +57,21 @@ def through_origin(rows: DataFrame, keys: list[str], expected: str, observed: st
 def match_error(rows: DataFrame, keys: list[str], a: str, b: str, least: int = 1) -> DataFrame:
     """Population standard deviation of the difference, which brightness doesn't change."""
     return rows.groupBy(*keys).agg(F.when(F.count(a) >= least, F.stddev_pop(F.col(a) - F.col(b))).alias("error"))
+
+
+def clean_mean(rows: DataFrame, keys: list[str], mask: str = "m", value: str = "v") -> DataFrame:
+    """Mean of the pixels outside the mask; null without any."""
+    return rows.groupBy(*keys).agg(F.avg(F.when(F.col(mask) == 0, F.col(value))).alias("mean"))
+
+
+def layer_statistics(layer: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of masked, inverted and filled pixels of a layer (keys, alpha, fill), and the share of fills."""
+    inverted, filled = F.count_if((F.col("alpha") > 0) & ~F.col("fill")), F.count_if("fill")
+    got = layer.groupBy(*keys).agg((inverted + filled).alias("mask_pixels"), inverted.alias("inverted"), filled.alias("filled"))
+    return got.withColumn("fill_share", F.when(F.col("mask_pixels") == 0, 0.0).otherwise(F.col("filled") / F.col("mask_pixels"))).withColumn("dominated", (F.col("mask_pixels") > 0) & (F.col("fill_share") >= 0.5))
+
+
+def verified(scores: DataFrame, keys: list[str], inside: Column, least: float = 0.45, needed: int = 2) -> DataFrame:
+    """How many frames outside a chunk a template was found in, and whether these are enough."""
+    got = scores.withColumn("_in", inside).groupBy(*keys).agg(F.count_if(~F.col("_in") & (F.col("score") >= least)).alias("verified"), F.count_if(~F.col("_in")).alias("_out"))
+    return got.select(*keys, "verified", (F.col("verified") >= F.least(F.lit(needed), F.col("_out"))).alias("enough"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import components, frames, layers, selection, sequence, solvers, stats, stencil, zones
+from ..operators import components, frames, layers, selection, sequence, solvers, spatial, stats, stencil, tracking, zones
 from ..sources import library
 from ..sources.tables import read, ship
 from ..streaming import restore
@@ -18,7 +18,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 # DuckDB: pixels of the embeddings, each vector an 8 x 8 frame; and the closed-form frames.
-PX = "px as (select label as clip, vec_id as t, cast(i // 8 as int) as y, cast(i % 8 as int) as x, cast(embedding[i + 1] as double) as v from embeddings, range(64) r(i))"
+PX = "px as materialized (select label as clip, vec_id as t, cast(i // 8 as int) as y, cast(i % 8 as int) as x, cast(embedding[i + 1] as double) as v from embeddings, range(64) r(i))"
 CF = """g as (select cast(i // 4608 as int) as t, cast((i // 96) % 48 as int) as y, cast(i % 96 as int) as x from range(73728) r(i)),
 bgs as (select t, y, x, unnest([0, 1, 2]) as c, unnest([0.35 + 0.25 * sin(0.31 * (x + 3 * t)) + 0.15 * sin(0.17 * (y + 2 * t)),
  0.40 + 0.20 * sin(0.23 * (x + 3 * t) + 1) + 0.10 * sin(0.11 * ((x + 3 * t) + (y + 2 * t))), 0.45 + 0.20 * sin(0.27 * (y + 2 * t) + 2) + 0.10 * sin(0.13 * (x + 3 * t))]) as bg from g),
@@ -95,8 +95,7 @@ def _(spark, d):
     rows = px(spark, d)
     joined = rows.join(rows.groupBy("clip", "y", "x").agg(F.median("v").alias("med")), ["clip", "y", "x"])
     residual = joined.join(stats.exposure(joined, ["clip", "t"]), ["clip", "t"]).withColumn("res", F.col("v") - (F.col("gain") * F.col("med") + F.col("offset")))
-    ring = (F.col("x") < 1) | (F.col("x") >= 7) | (F.col("y") < 1) | (F.col("y") >= 7)
-    return stats.median_mad(residual.where(ring), ["clip", "y", "x"], "res").groupBy("clip").agg(F.median("mad").alias("motion")).select("clip", r6("motion"))
+    return stats.median_mad(frames.ring(residual, 8, 8, 1), ["clip", "y", "x"], "res").groupBy("clip").agg(F.median("mad").alias("motion")).select("clip", r6("motion"))
 
 
 @query("ols_opacity", "select l_returnflag, round(case when var_pop(l_discount) < 0.0003 then 0.5 else 1 - greatest(0, least(1, covar_pop(l_discount, l_tax) / var_pop(l_discount))) end, 6) + 0.0 as alpha from lineitem group by l_returnflag")
@@ -141,15 +140,11 @@ def _(spark, d):
     return stats.match_error(rows, ["clip", "t"], "v", "v_1").select("clip", "t", r6("error"))
 
 
-@query("motion_search", f"with {CF}, l as (select t, y, x, sum(b) / 765.0 as lum from cf group by all), o as (select i as dx, j as dy from range(-4, 5) a(i), range(-4, 5) b(j)), e as (select a.t, dx, dy, round(stddev_pop(a.lum - b.lum), 9) as err from l a, o, l b where a.t between 1 and 3 and b.t = a.t - 1 and b.y = a.y + dy and b.x = a.x + dx and a.y between 8 and 39 and a.x between 82 and 91 and b.x between 0 and 95 group by all) select t, arg_min(dx, (err, dy, dx)) as dx, arg_min(dy, (err, dy, dx)) as dy from e group by t")
+@query("motion_search", f"with {CF}, l as materialized (select t, y, x, sum(b) / 765.0 as lum from cf where t < 4 group by t, y, x having max(a) = 0), n as (select count(*) as n from l where t = 0), e as (select a.t, a.x - b.x as dx, a.y - b.y as dy, round(sqrt(greatest(0, avg((a.lum - b.lum) * (a.lum - b.lum)) - avg(a.lum - b.lum) * avg(a.lum - b.lum))), 9) as err from l a join l b on b.t = a.t - 1 where a.x - b.x between -24 and 24 and a.y - b.y between -24 and 24 group by a.t, a.x - b.x, a.y - b.y having count(*) >= greatest((select n from n) / 3.0, 30)) select t, arg_min(dx, (err, abs(dx) + abs(dy), dy, dx)) as dx, arg_min(dy, (err, abs(dx) + abs(dy), dy, dx)) as dy, round(min(err), 6) + 0.0 as error from e group by t having min(err) <= 0.06")
 def _(spark, d):
-    lum = frames.luminance(frames.closed_form_frames(spark, n=4))
-    now = lum.where("t between 1 and 3 and y between 8 and 39 and x between 82 and 91")
-    moved = now.select((F.col("t") - 1).alias("t"), "y", "x", "lum", F.explode(F.sequence(F.lit(-4), F.lit(4))).alias("dx")).withColumn("dy", F.explode(F.sequence(F.lit(-4), F.lit(4))))
-    pairs = moved.select("t", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "dx", "dy", F.col("lum").alias("cur")).join(lum, ["t", "y", "x"])
-    err = stats.match_error(pairs, ["t", "dx", "dy"], "cur", "lum")
-    best = err.groupBy("t").agg(F.min(F.struct(F.round("error", 9).alias("e"), F.col("dy").cast("long").alias("dy"), F.col("dx").cast("long").alias("dx"))).alias("b"))
-    return best.select((F.col("t") + 1).alias("t"), "b.dx", "b.dy")
+    rows = frames.closed_form_frames(spark, n=4)
+    clean = rows.groupBy("t", "y", "x").agg((F.max("alpha") == 0).alias("clean"))
+    return restore.frame_motion(frames.luminance(rows).join(clean, ["t", "y", "x"]), []).where("dx is not null").select("t", "dx", "dy", r6("error"))
 
 
 # --- neighbourhoods ------------------------------------------------------------------------------------
@@ -255,14 +250,23 @@ def _(spark, d):
 
 @query("border_ring", f"with {PX} select clip, t, cast(count(*) as bigint) as n, round(avg(v), 6) + 0.0 as mean from px where x < 2 or x >= 6 or y < 2 or y >= 6 group by clip, t")
 def _(spark, d):
-    ring = (F.col("x") < 2) | (F.col("x") >= 6) | (F.col("y") < 2) | (F.col("y") >= 6)
-    return px(spark, d).where(ring).groupBy("clip", "t").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")).select("clip", "t", "n", r6("mean"))
+    return frames.ring(px(spark, d), 8, 8, 2).groupBy("clip", "t").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")).select("clip", "t", "n", r6("mean"))
 
 
-@query("fill_fraction", f"with {PX}, {MASK} select clip, t, round(case when sum(m) = 0 then 0 else sum(case when m = 1 and y < 4 then 1 else 0 end) / sum(m) end, 6) + 0.0 as fraction, (sum(m) > 0 and sum(case when m = 1 and y < 4 then 1 else 0 end) >= 0.5 * sum(m)) as dominated from mk group by clip, t")
+@query("layer_statistics", f"with {PX}, l as (select clip, t, greatest(v, 0) as a, v > 0 and y < 4 as fill from px), g as (select clip, t, count(*) filter (a > 0 and not fill) as inverted, count(*) filter (fill) as filled from l group by all) select clip, t, inverted + filled as mask_pixels, inverted, filled, round(case when inverted + filled = 0 then 0 else filled / (inverted + filled) end, 6) + 0.0 as fill_share, inverted + filled > 0 and filled >= 0.5 * (inverted + filled) as dominated from g")
 def _(spark, d):
-    got = sign_mask(px(spark, d)).groupBy("clip", "t").agg(F.sum("m").alias("n"), F.count_if((F.col("m") == 1) & (F.col("y") < 4)).alias("f"))
-    return got.select("clip", "t", F.round(F.when(F.col("n") == 0, 0.0).otherwise(F.col("f") / F.col("n")), 6).alias("fraction"), ((F.col("n") > 0) & (F.col("f") >= 0.5 * F.col("n"))).alias("dominated"))
+    layer = px(spark, d).select("clip", "t", F.greatest("v", F.lit(0.0)).alias("alpha"), ((F.col("v") > 0) & (F.col("y") < 4)).alias("fill"))
+    return stats.layer_statistics(layer, ["clip", "t"]).select("clip", "t", "mask_pixels", "inverted", "filled", r6("fill_share"), "dominated")
+
+
+@query("clean_mean", f"with {PX}, {MASK} select px.clip, px.t, round(avg(case when m = 0 then v end), 6) + 0.0 as mean from px join mk using (clip, t, y, x) group by px.clip, px.t")
+def _(spark, d):
+    return stats.clean_mean(px(spark, d).withColumn("m", F.when(F.col("v") > 0, 1).otherwise(0)), ["clip", "t"]).select("clip", "t", r6("mean"))
+
+
+@query("verified_count", f"with {PX}, s as (select clip, t, max(v) as score from px group by all) select clip, count(*) filter (t % 3 <> 0 and score >= 0.45) as verified, count(*) filter (t % 3 <> 0 and score >= 0.45) >= least(2, count(*) filter (t % 3 <> 0)) as enough from s group by clip")
+def _(spark, d):
+    return stats.verified(px(spark, d).groupBy("clip", "t").agg(F.max("v").alias("score")), ["clip"], F.col("t") % 3 == 0)
 
 
 def millis() -> Column:
@@ -399,12 +403,11 @@ def _(spark, d):
     return sane_rects(spark, d).withColumn("r", S.rect_translated(F.col("r"), F.lit(0.3), F.lit(-0.2))).select("p_partkey", *rect_columns("r"))
 
 
-@query("rect_resize", f"with {_SAN} select k as p_partkey, {_rect_sql('case when k % 2 = 0 then greatest(0, least(r - 0.02, l + 0.1)) else l end', 'case when k % 4 < 2 then greatest(0, least(b - 0.02, t - 0.05)) else t end', 'case when k % 2 = 1 then greatest(l + 0.02, least(1, r + 0.1)) else r end', 'case when k % 4 >= 2 then greatest(t + 0.02, least(1, b - 0.05)) else b end')} from san where l <= 0.98 and t <= 0.98")
+@query("rect_resize", f"with {_SAN} select k as p_partkey, {_rect_sql('case when k % 2 = 0 then greatest(0, least(r - 0.02, l + 0.1)) else l end', 'case when k % 4 < 2 then greatest(0, least(b - 0.02, t - 0.05)) else t end', 'case when k % 2 = 1 then greatest(l + 0.02, least(1, r + 0.1)) else r end', 'case when k % 4 >= 2 then greatest(t + 0.02, least(1, b - 0.05)) else b end')} from san")
 def _(spark, d):
     k = F.col("p_partkey")
     corner = F.concat(F.when(k % 4 < 2, "TOP").otherwise("BOTTOM"), F.when(k % 2 == 0, "_LEFT").otherwise("_RIGHT"))
-    rows = sane_rects(spark, d).where("r.left <= 0.98 and r.top <= 0.98")
-    return rows.withColumn("r", S.rect_resized(F.col("r"), corner, F.lit(0.1), F.lit(-0.05))).select("p_partkey", *rect_columns("r"))
+    return sane_rects(spark, d).withColumn("r", S.rect_resized(F.col("r"), corner, F.lit(0.1), F.lit(-0.05))).select("p_partkey", *rect_columns("r"))
 
 
 @query("crop_rect", f"with {_SAN}, c as (select *, list_position([t, 1 - b, l, 1 - r], greatest(t, 1 - b, l, 1 - r)) as w from san) select k as p_partkey, {_rect_sql('case when w = 4 then r else 0 end', 'case when w = 2 then b else 0 end', 'case when w = 3 then l else 1 end', 'case when w = 1 then t else 1 end')} from c")
@@ -444,9 +447,11 @@ def _(spark, d):
     return rows.withColumn("r", S.rect(r.left, 1 - r.bottom, r.right, 1 - r.top)).select("p_partkey", *rect_columns("r"))
 
 
-@query("atlas_packing", "with l as (select p_partkey % 50 as g, p_partkey as pos, case when p_size % 7 <> 0 then p_size * 3 + 1 end as w, p_size + 2 as h from part) select g, pos, w as width, h as height, coalesce(cast(sum(h) over (partition by g order by pos rows between unbounded preceding and 1 preceding) as bigint), 0) as atlas_row, max(w) over (partition by g) as atlas_width, cast(sum(h) over (partition by g) as bigint) as atlas_height from l where w is not null")
+@query("atlas_packing", "with l as (select p_partkey % 50 as g, p_partkey as pos, case when p_size % 7 <> 0 then p_size * 3 + 1 end as w, p_size + 2 as h from part) select g, pos, w as width, h as height, coalesce(cast(sum(h) over (partition by g order by pos rows between unbounded preceding and 1 preceding) as bigint), 0) as atlas_row, max(w) over (partition by g) as atlas_width, cast(sum(h) over (partition by g) as bigint) as atlas_height from l where w is not null and pos % 11 <> 0")
 def _(spark, d):
     rows = read(spark, d, "part").select((F.col("p_partkey") % 50).alias("g"), F.col("p_partkey").alias("pos"), F.when(F.col("p_size") % 7 != 0, F.col("p_size") * 3 + 1).alias("width"), (F.col("p_size") + 2).alias("height"))
+    # Every eleventh layer was analysed in another size than its region has now.
+    rows = rows.withColumns({"region_width": F.col("width"), "region_height": F.col("height") + F.when(F.col("pos") % 11 == 0, 1).otherwise(0)})
     return zones.atlas(rows, ["g"])
 
 
@@ -469,13 +474,10 @@ def _(spark, d):
     return zones.remaining(*region_rows(spark, d))
 
 
-@query("positional_join", "with a as (select row_number() over (order by p_partkey) - 1 as pos, p_partkey as zone_id from part where p_size > 20), b as (select row_number() over (order by s_suppkey) - 1 as pos, s_suppkey as layer_id from supplier) select pos, zone_id, layer_id from a join b using (pos)")
+@query("positional_join", "with a as (select row_number() over (order by p_partkey) - 1 as pos, p_partkey as zone_id from part), b as (select row_number() over (order by s_suppkey) - 1 as pos, s_suppkey as layer_id from supplier) select pos, zone_id, layer_id from a join b using (pos)")
 def _(spark, d):
-    def placed(rows: DataFrame, key: str, alias: str) -> DataFrame:
-        one = rows.groupBy().agg(F.array_sort(F.collect_list(key)).alias("ids"))  # a zone list is a user's own and small
-        return one.select(F.posexplode("ids").alias("pos", alias)).select(F.col("pos").cast("long"), alias)
-
-    return zones.positional(placed(read(spark, d, "part").where("p_size > 20"), "p_partkey", "zone_id"), placed(read(spark, d, "supplier"), "s_suppkey", "layer_id"))
+    zone_list = zones.numbered(read(spark, d, "part").select(F.col("p_partkey").alias("zone_id")), "zone_id")
+    return zones.positional(zone_list, zones.numbered(read(spark, d, "supplier").select(F.col("s_suppkey").alias("layer_id")), "layer_id")).select("pos", "zone_id", "layer_id")
 
 
 @query("feather_units", "select p_partkey, round(case when p_size % 2 = 0 then 2.5 else (p_size / 50.0) * 0.03 * least(p_size * 40, 1080) end / greatest(p_size * 40, 1080), 6) + 0.0 as feather from part")
@@ -527,7 +529,7 @@ def _(spark, d):
 _HOSTILE = "['../../', '', '..', 'a/b:', '.', ' ']"
 
 
-@query("sanitize_name", f"with n as (select p_partkey, concat({_HOSTILE}[p_partkey % 6 + 1], p_name, '.', ['mp4', 'MOV', 'x y'][p_partkey % 3 + 1]) as s from part), a as (select p_partkey, trim(replace(regexp_replace(regexp_replace(s, '\\.[^.]*$', ''), '[\\\\/:*?\"<>|\\x00-\\x1F]', '', 'g'), '..', '')) as s from n), b as (select p_partkey, trim(left(ltrim(s, '.'), 96)) as s from a) select p_partkey, concat(case when s = '' then 'video' else s end, '_restored.mp4') as name from b")
+@query("sanitize_name", f"with n as (select p_partkey, concat({_HOSTILE}[p_partkey % 6 + 1], p_name, '.', ['mp4', 'MOV', 'x y'][p_partkey % 3 + 1]) as s from part), a as (select p_partkey, trim(replace(regexp_replace(regexp_replace(s, '\\.[^.]*$', ''), '[\\\\/:*?\"<>|\\x00-\\x1F]', '', 'g'), '..', '')) as s from n), b as (select p_partkey, trim(left(ltrim(s, '.'), 96)) as s from a) select p_partkey, concat(case when s = '' then 'video' else s end, '_sans_filigrane.mp4') as name from b")
 def _(spark, d):
     k = F.col("p_partkey")
     pick = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (k % n).cast("int"))
@@ -551,9 +553,9 @@ def _(spark, d):
     return read(spark, d, "part").select("p_partkey", S.is_newer(a, b).alias("newer"))
 
 
-@query("duration_format", "select o_orderkey, concat(lpad(cast(cast(floor(o_totalprice) as bigint) // 60 as varchar), cast(greatest(2, length(cast(cast(floor(o_totalprice) as bigint) // 60 as varchar))) as int), '0'), ':', lpad(cast(cast(floor(o_totalprice) as bigint) % 60 as varchar), 2, '0')) as text from orders where o_totalprice < 6000")
+@query("duration_format", "select o_orderkey, concat(lpad(cast(cast(floor(o_totalprice) as bigint) // 60 as varchar), cast(greatest(2, length(cast(cast(floor(o_totalprice) as bigint) // 60 as varchar))) as int), '0'), ':', lpad(cast(cast(floor(o_totalprice) as bigint) % 60 as varchar), 2, '0')) as text from orders")
 def _(spark, d):
-    return read(spark, d, "orders").where("o_totalprice < 6000").select("o_orderkey", S.duration_text(F.floor("o_totalprice") * 1000).alias("text"))
+    return read(spark, d, "orders").select("o_orderkey", S.duration_text(F.floor("o_totalprice") * 1000).alias("text"))
 
 
 @query("trusted_url", "select page_id, starts_with(url, 'https://') and lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) = 'blog.therhe.example.org' as trusted from pages")
@@ -606,10 +608,10 @@ def _(spark, d):
     return library.upsert(items, new).select("id", "name")
 
 
-@query("library_rename", f"with {_ITEMS} select id, case when id % 4 = 0 then concat('renamed', id, '.mp4') else name end as name from it")
+@query("library_rename", f"with {_ITEMS} select id, case when id % 4 = 0 and id % 8 <> 0 then concat('renamed', id, '.mp4') else name end as name from it")
 def _(spark, d):
-    name = F.concat(S.safe_name(F.concat(F.lit("../renamed"), F.col("id"), F.lit(".mov"))), F.lit(".mp4"))
-    return library.rename(index_items(spark, d), F.col("id") % 4 == 0, name).select("id", "name")
+    typed = F.when(F.col("id") % 8 != 0, F.concat(F.lit("../renamed"), F.col("id"), F.lit(".mov"))).otherwise("  ")
+    return library.rename(index_items(spark, d), F.col("id") % 4 == 0, typed).select("id", "name")
 
 
 @query("library_recent", f"with {_ITEMS} select id, createdAt from it order by createdAt desc, id desc limit 8")
@@ -644,7 +646,8 @@ def fixture_pixels(spark: SparkSession, n: int = 16) -> DataFrame:
 
 @query("layer_analyze")
 def _(spark, d):
-    return layers.estimate_layers(fixture_pixels(spark), ["video_id"]).select("video_id", "y", "x", F.round("alpha", 3).alias("alpha"), "fill", "dl", "dr", "du", "dd", "reason", "present", "components")
+    clips = packed(fixture_pixels(spark)).select("video_id", F.col("pts_us").alias("t"), F.lit(96).alias("w"), F.lit(48).alias("h"), "rgb")
+    return layers.estimate_layers(clips, ["video_id"]).select("video_id", "y", "x", F.round("alpha", 3).alias("alpha"), "fill", "dl", "dr", "du", "dd", "reason", "present", "components")
 
 
 def packed(pixels: DataFrame) -> DataFrame:
@@ -671,7 +674,10 @@ def _(spark, d):
     return restored[0].unionByName(restored[1]).select("video_id", "pts_us", F.sha2("rgb", 256).alias("digest"))
 
 
-@query("poisson_relief")
+_SINES = "s as (select i as p, j as k, sin(pi() * (i + 1) * (j + 1) / 9) as s from range(8) a(i), range(8) b(j))"
+
+
+@query("poisson_relief", f"with {PX}, {_SINES}, h as (select clip, t, sy.k as ky, sx.k as kx, sum(v * sy.s * sx.s) as c from px join s sy on sy.p = y join s sx on sx.p = x group by all) select clip, t, cast(sy.p as int) as y, cast(sx.p as int) as x, round(sum(c * sy.s * sx.s / (2 * cos(pi() * (ky + 1) / 9) + 2 * cos(pi() * (kx + 1) / 9) - 4)) * 4 / 81, 6) + 0.0 as v from h join s sy on sy.k = ky join s sx on sx.k = kx group by all")
 def _(spark, d):
     return layers.map_regions(px(spark, d), ["clip", "t"], solvers.poisson).select("clip", "t", "y", "x", r6("v"))
 
@@ -694,7 +700,12 @@ def _band(v):
 
 
 def _nearest(v):
-    return solvers.nearest_clean(v > 0.1).reshape(v.shape)
+    """Steps to the nearest clean pixel, 0 where there is none."""
+    import numpy as np
+
+    y, x = np.mgrid[0 : v.shape[0], 0 : v.shape[1]]
+    there = solvers.nearest_clean(v > 0.1).reshape(v.shape)
+    return np.abs(there // v.shape[1] - y) + np.abs(there % v.shape[1] - x)
 
 
 def _mirror(v):
@@ -719,12 +730,15 @@ def _(spark, d):
     return layers.map_regions(px(spark, d), ["clip", "t"], _band)
 
 
-@query("nearest_clean")
+@query("nearest_clean", f"with {PX} select a.clip, a.t, a.y, a.x, cast(coalesce(min(abs(a.y - b.y) + abs(a.x - b.x)), 0) as double) as v from px a left join px b on a.clip = b.clip and a.t = b.t and not b.v > 0.1 group by all")
 def _(spark, d):
     return layers.map_regions(px(spark, d), ["clip", "t"], _nearest)
 
 
-@query("mirror_inpaint")
+_MIRRORS = "m as (select *, unnest([{'sy': 3 - y, 'sx': x, 'd': y - 1}, {'sy': 9 - y, 'sx': x, 'd': 5 - y}, {'sy': y, 'sx': 5 - x, 'd': x - 2}, {'sy': y, 'sx': 13 - x, 'd': 7 - x}]) as s from px where y between 2 and 4 and x between 3 and 6)"
+
+
+@query("mirror_inpaint", f"with {PX}, {_MIRRORS}, f as (select m.clip, m.t, m.y, m.x, sum(b.v / (m.s.d * m.s.d)) / sum(1.0 / (m.s.d * m.s.d)) as v from m join px b on b.clip = m.clip and b.t = m.t and b.y = m.s.sy and b.x = m.s.sx group by all) select px.clip, px.t, px.y, px.x, round(coalesce(f.v, px.v), 6) + 0.0 as v from px left join f using (clip, t, y, x)")
 def _(spark, d):
     return layers.map_regions(px(spark, d), ["clip", "t"], _mirror).select("clip", "t", "y", "x", r6("v"))
 
@@ -734,20 +748,65 @@ def _(spark, d):
     return layers.map_regions(px(spark, d), ["clip", "t"], _patches).select("clip", "t", "y", "x", (F.round("v", 4) + F.lit(0.0)).alias("v"))
 
 
-@query("template_build", f"with {CF}, m as (select y, x, c, median(b / 255.0) as med from cf where a > 0 group by all), s as (select y, x, c, any_value(med) as med, median(abs(b / 255.0 - med)) * 1.4826 as mad from cf join m using (y, x, c) group by y, x, c) select y, x, round(avg(med), 6) + 0.0 as level, max(mad) <= 0.2 as support from s group by y, x")
+_TEMPLATE = CF.replace("then 0.6 else", "then 0.75 else") + """, v as materialized (select t, y, x, a, max(case when c = 0 then b end) / 255.0 as r, max(case when c = 1 then b end) / 255.0 as g, max(case when c = 2 then b end) / 255.0 as bl from cf group by t, y, x, a),
+md as (select y, x, median(r) as r, median(g) as g, median(bl) as bl from v where a > 0 group by all),
+sp as materialized (select md.*, greatest(median(abs(v.r - md.r)), median(abs(v.g - md.g)), median(abs(v.bl - md.bl))) * 1.4826 <= 0.06 as support from v join md using (y, x) group by all),
+rg as materialized (select distinct p.y, p.x from v p join md on abs(p.y - md.y) <= 1 and abs(p.x - md.x) <= 1 where p.t = 0 and p.a = 0)"""
+
+
+def fixture_template(spark: SparkSession, d: str, kernel, ddl: str) -> DataFrame:
+    """kernel(frames in 0..1, overlay mask) -> rows, over the closed-form clip under an overlay of opacity 0.75."""
+    import numpy as np
+    import pandas as pd
+
+    ship(spark)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.zeros((pdf.t.max() + 1, 48, 96, 3))
+        v[pdf.t, pdf.y, pdf.x, pdf.c] = pdf.b / 255.0
+        mask = np.zeros((48, 96), bool)
+        mask[pdf.y, pdf.x] = pdf.alpha > 0
+        return pd.DataFrame(kernel(v, mask), columns=[c.split()[0] for c in ddl.split(", ")])
+
+    return frames.closed_form_frames(spark, alpha=0.75).select("t", "y", "x", "c", "b", "alpha").groupBy().applyInPandas(run, ddl)
+
+
+def _template_rows(v, mask):
+    import numpy as np
+
+    t = tracking.build_template(v, mask, mask)
+    y, x = np.nonzero(mask | t.ring)
+    level = np.where(t.support, t.values.mean(-1), 0)
+    return [(int(a), int(b), float(level[a, b]), bool(t.support[a, b]), bool(t.ring[a, b])) for a, b in zip(y, x)]
+
+
+def _template_places(v, mask):
+    t = tracking.build_template(v, mask, mask)
+    out = []
+    for k, frame in enumerate(v):
+        (dy, dx), score = tracking.template_offset(t, frame)
+        out.append((k, int(dy), int(dx), float(score)))
+    return out
+
+
+@query("template_build", f"with {_TEMPLATE} select y, x, round(case when support then (r + g + bl) / 3 else 0 end, 6) + 0.0 as level, support, false as ring from sp union all select y, x, 0.0, false, true from rg")
+def _(spark, d):
+    return fixture_template(spark, d, _template_rows, "y int, x int, level double, support boolean, ring boolean").select("y", "x", r6("level"), "support", "ring")
+
+
+@query("template_match", f"with {_TEMPLATE}, s as materialized (select * from sp where support), k as (select avg(r) as r, avg(g) as g, avg(bl) as bl, count(*) as n from s), o as (select i as dx, j as dy from range(-16, 17) a(i), range(-16, 17) b(j)), c as (select v.t, dx, dy, avg(least(0.25, (abs(v.r - s.r) + abs(v.g - s.g) + abs(v.bl - s.bl)) / 3)) as cost, count(*) as n from s, o, v where v.y = s.y + dy and v.x = s.x + dx group by all), q as (select v.t, dx, dy, avg(least(0.25, (abs(v.r - k.r) + abs(v.g - k.g) + abs(v.bl - k.bl)) / 3)) as cost, count(*) as n from rg, o, k, v where v.y = rg.y + dy and v.x = rg.x + dx group by all), e as (select t, dx, dy, round(case when c.n < (select n // 2 from k) then -1 when q.n >= 8 then 0.6 * greatest(-1, least(1, 1 - c.cost / 0.1)) + 0.4 * greatest(0, least(1, q.cost / 0.1)) else greatest(-1, least(1, 1 - c.cost / 0.1)) end, 9) as score from c left join q using (t, dx, dy)), b as (select t, max(score) as top, arg_max({{'x': dx, 'y': dy}}, (score, -abs(dx) - abs(dy), -dy, -dx)) as o, max(score) filter (dx = 0 and dy = 0) as zero from e group by t), f as (select *, top >= 0.45 and greatest(abs(o.x), abs(o.y)) < 16 and ((o.x = 0 and o.y = 0) or top > zero + 0.08) as found from b) select t, cast(case when found then o.y else 0 end as int) as dy, cast(case when found then o.x else 0 end as int) as dx, round(case when found then top else 0 end, 6) + 0.0 as score from f")
 def _(spark, d):
-    rows = stats.median_mad(frames.closed_form_frames(spark).where("alpha > 0"), ["y", "x", "c"])
-    return rows.groupBy("y", "x").agg(F.avg("med").alias("level"), (F.max("mad") <= 0.2).alias("support")).select("y", "x", r6("level"), "support")
+    return fixture_template(spark, d, _template_places, "t int, dy int, dx int, score double").select("t", "dy", "dx", r6("score"))
 
 
-@query("template_match", f"with {CF}, m as (select y, x, c, median(b / 255.0) as med from cf where a > 0 group by all), o as (select i as dx from range(-3, 4) r(i)), e as (select cf.t, o.dx, avg(least(0.25, abs(cf.b / 255.0 - med))) as cost from m, o, cf where cf.y = m.y and cf.x = m.x + o.dx and cf.c = m.c group by all) select t, arg_min(dx, (round(cost, 9), dx)) as dx, round(min(cost), 6) + 0.0 as cost from e group by t")
+@query("spatial_render")
 def _(spark, d):
-    rows = frames.closed_form_frames(spark)
-    core = rows.where("alpha > 0").groupBy("y", "x", "c").agg(F.median("v").alias("med"))
-    moved = core.withColumn("dx", F.explode(F.sequence(F.lit(-3), F.lit(3)))).withColumn("x", F.col("x") + F.col("dx"))
-    cost = rows.join(moved, ["y", "x", "c"]).groupBy("t", "dx").agg(F.avg(F.least(F.lit(0.25), F.abs(F.col("v") - F.col("med")))).alias("cost"))
-    best = cost.groupBy("t").agg(F.min(F.struct(F.round("cost", 9).alias("e"), "dx")).alias("b"), F.min("cost").alias("cost"))
-    return best.select("t", F.col("b.dx").cast("long").alias("dx"), r6("cost"))
+    """Every embedding frame as a grey picture, its zone reconstructed, blurred or in blocks by turns."""
+    byte = lambda e: F.lpad(F.hex(F.least(F.lit(255), F.greatest(F.lit(0), F.floor((e + 0.5) * 255))).cast("int")), 2, "0")
+    pixels = F.unhex(F.array_join(F.flatten(F.transform("embedding", lambda e: F.array_repeat(byte(e), 3))), ""))
+    rows = read(spark, d, "embeddings").select(F.col("label").cast("string").alias("video_id"), F.col("vec_id").alias("pts_us"), F.lit(8).alias("w"), F.lit(8).alias("h"), pixels.alias("rgb"))
+    done = [spatial.render_frames(rows.where(F.col("pts_us") % 3 == m), [(0.25, 0.25, 0.625, 0.5)], m) for m in (0, 1, 2)]
+    return done[0].unionByName(done[1]).unionByName(done[2]).select("video_id", "pts_us", F.hex("rgb").alias("rgb"))
 
 
 # --- selections and guards -------------------------------------------------------------------------------------
@@ -774,14 +833,23 @@ def _(spark, d):
     return selection.hit_test(rows, ["g"], 0.5, 0.4, 0.05, F.col("pos") % 3 == 0)
 
 
-@query("release_feed", "select p_partkey, cast(p_partkey as varchar) || '.' || p_size as version, case when p_size % 3 = 0 then 'https://github.com/b.apk' else 'https://github.com/a.apk' end as url, cast(p_size as bigint) as size from part where p_partkey % 4 > 0 and p_size % 5 <> 0")
+@query("release_feed", "select p_partkey, cast(p_partkey as varchar) || '.' || p_size as version, case when p_size % 5 = 0 then 'https://github.com/p' when p_size % 3 = 0 then 'https://github.com/b.APK' else 'https://github.com/a.apk' end as url, case when p_size % 5 = 0 then 0 else cast(p_size as bigint) end as size, case when p_size % 5 <> 0 and p_size % 2 = 0 then 'https://github.com/s' end as digest_url from part where p_partkey % 4 > 0 and (p_partkey > 20 or (p_partkey = 20 and p_size > 3))")
 def _(spark, d):
     k, s = F.col("p_partkey"), F.col("p_size")
     asset = lambda name, url, size: F.struct(F.lit(name).alias("name"), F.lit(url).alias("browser_download_url"), size.cast("long").alias("size"))
-    first, second, evil, text = asset("a.apk", "https://github.com/a.apk", s), asset("b.apk", "https://github.com/b.apk", s), asset("c.apk", "https://evil.org/c.apk", s), asset("a.txt", "https://github.com/a.txt", s)
-    assets = F.when(s % 5 == 0, F.array(evil, text)).when(s % 3 == 0, F.array(first, second, evil)).otherwise(F.array(first, text))
-    feed = F.to_json(F.struct(F.concat(F.lit("v"), k.cast("string"), F.lit("."), s.cast("string")).alias("tag_name"), (k % 4 == 0).alias("draft"), F.lit(False).alias("prerelease"), assets.alias("assets")))
-    return read(spark, d, "part").select("p_partkey", selection.latest_release(feed, "github.com").alias("r")).where("r is not null").select("p_partkey", "r.version", "r.url", "r.size")
+    first, second, evil, text = asset("a.apk", "https://github.com/a.apk", s), asset("b.APK", "https://github.com/b.APK", s), asset("c.apk", "https://evil.org/c.apk", s), asset("a.txt", "https://github.com/a.txt", s)
+    digest = F.when(s % 2 == 0, asset("a.apk.sha256", "https://github.com/s", s)).otherwise(asset("a.apk.sha256", "https://evil.org/s", s))
+    assets = F.when(s % 5 == 0, F.array(evil, text, digest)).when(s % 3 == 0, F.array(first, second, evil, digest)).otherwise(F.array(first, text, digest))
+    feed = F.to_json(F.struct(F.concat(F.lit("v"), k.cast("string"), F.lit("."), s.cast("string")).alias("tag_name"), F.lit("https://github.com/p").alias("html_url"), (k % 4 == 0).alias("draft"), F.lit(False).alias("prerelease"), assets.alias("assets")))
+    return read(spark, d, "part").select("p_partkey", selection.latest_release(feed, "github.com", F.lit("20.3")).alias("r")).where("r is not null").select("p_partkey", "r.version", "r.url", "r.size", "r.digest_url")
+
+
+@query("update_codec", "select p_partkey, concat(p_partkey, '.1') as version, 'https://github.com/a.apk' as apk, cast(p_size as bigint) as size, case when p_size % 2 = 0 then repeat('a', 64) end as sha, p_partkey > 50 or (p_partkey = 50 and 1 > 0) as valid from part where p_size % 7 <> 0")
+def _(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    json = selection.encode_update(F.concat(k.cast("string"), F.lit(".1")), F.when(s % 7 != 0, F.lit("https://github.com/a.apk")), F.lit("https://github.com/p"), s, F.when(s % 2 == 0, F.repeat(F.lit("a"), 64)).otherwise("short"))
+    rows = read(spark, d, "part").select("p_partkey", selection.decode_update(json).alias("u")).where("u is not null")
+    return rows.select("p_partkey", "u.version", "u.apk", "u.size", "u.sha", selection.still_valid(F.col("u"), F.lit("50.0"), "github.com").alias("valid"))
 
 
 @query("ttl_cache", "select event_id, case when event_id % 7 <> 0 and value * 100000 < 21600000 then 'cached' else 'fetched' end as source from events")
@@ -794,10 +862,11 @@ def _(spark, d):
     return selection.two_blocks(components.statistics(labelled(spark, d), ["clip", "t"]), ["clip", "t"], least=3)
 
 
-@query("mask_union", f"with {PX}, m as (select clip, t, cast(v > 0.12 as int) as m1, cast(v < -0.2 as int) as m2 from px), s as (select clip, t, count(*) as n, sum(m1) as before, sum(greatest(m1, m2)) as after from m group by all) select clip, t, cast(before as bigint) as before, cast(after as bigint) as after, after > before * 1.15 and after < before * 1.8 and after < n * 0.5 as adopted from s")
+@query("mask_union", f"with {PX}, m as (select clip, t, cast(v > 0.12 as int) as m1, cast(v < -0.2 as int) as m2 from px), s as (select clip, t, count(*) as n, sum(m1) as before, sum(greatest(m1, m2)) as after from m group by all) select clip, t, cast(before as bigint) as before, cast(after as bigint) as after, after > before and after < before * 1.8 and after < n * 0.5 and (t % 3 = 0 or after > before * 1.15) as adopted from s")
 def _(spark, d):
     masks = px(spark, d).select("clip", "t", F.when(F.col("v") > 0.12, 1).otherwise(0).alias("m1"), F.when(F.col("v") < -0.2, 1).otherwise(0).alias("m2"))
-    return selection.adopt_union(masks, ["clip", "t"])
+    parts = masks.groupBy("clip", "t").agg(F.lit(3).alias("parts_before")).withColumn("parts_after", F.when(F.col("t") % 3 == 0, 2).otherwise(3))
+    return selection.adopt_union(masks, ["clip", "t"], parts)
 
 
 @query("chunk_selection", "with c as (select p_partkey % 60 as g, p_partkey as chunk, p_size * 10 as mask, (p_partkey % 8) / 8.0 as fraction from part), m as (select *, max(mask) over (partition by g) as most from c) select g, arg_max(chunk, (fraction, mask, -chunk)) as chunk from m where mask >= 0.6 * most group by g")
@@ -812,17 +881,131 @@ def _(spark, d):
     return selection.purify(layer).groupBy("clip", "t").agg(F.count_if("fill").alias("filled"), F.max("alpha").alias("alpha"))
 
 
-@query("blank_probe", f"with {PX} select clip, t, bool_and(v < 0.1) as blank from px where y % 4 = 0 and x % 4 = 0 group by clip, t")
+@query("blank_probe", f"with {PX}, r as (select clip, t, y, x, v, case when t % 2 = 0 then 0 else greatest(v, 0) end as o from px) select clip, t, bool_and(o = 0) and not bool_and(greatest(v, 0) = 0) as blank from r group by clip, t")
 def _(spark, d):
-    return px(spark, d).where("y % 4 = 0 and x % 4 = 0").groupBy("clip", "t").agg(F.bool_and(F.col("v") < 0.1).alias("blank"))
+    source = px(spark, d).withColumn("v", F.greatest("v", F.lit(0.0)))
+    rendered = source.withColumn("v", F.when(F.col("t") % 2 == 0, 0.0).otherwise(F.col("v")))
+    return selection.blank_render(rendered, source, ["clip", "t"], 8, 8)
 
 
 @query("source_defaults", "select p_partkey, coalesce(case when p_size % 3 = 0 then p_name end, 'video.mp4') as name, coalesce(case when p_size % 2 = 0 then p_size end, 0) as size from part")
 def _(spark, d):
     s = F.col("p_size")
-    return read(spark, d, "part").select("p_partkey", F.coalesce(F.when(s % 3 == 0, F.col("p_name")), F.lit("video.mp4")).alias("name"), F.coalesce(F.when(s % 2 == 0, s), F.lit(0)).alias("size"))
+    return read(spark, d, "part").select("p_partkey", S.name_and_size(F.when(s % 3 == 0, F.col("p_name")), F.when(s % 2 == 0, s)).alias("n")).select("p_partkey", "n.name", "n.size")
+
+
+@query("integrity_gate", "select page_id, octet_length(encode(concat(case when page_id % 3 = 0 then 'PK' else 'XX' end, html))) >= 2000 and page_id % 3 = 0 and (page_id % 2 = 1 or page_id % 5 <> 0) as ok from pages")
+def _(spark, d):
+    k = F.col("page_id")
+    content = F.concat(F.when(k % 3 == 0, "PK").otherwise("XX"), F.col("html")).cast("binary")
+    digest = F.when(k % 2 == 0, F.when(k % 5 == 0, F.lit("0")).otherwise(F.sha2(content, 256)))
+    return read(spark, d, "pages").select("page_id", S.archive_ok(content, digest, 2000).alias("ok"))
+
+
+# --- labels, sizes and edits --------------------------------------------------------------------------------------
+@query("container_info", "select p_partkey, p_size * 10 as width, p_size * 4 as height, (p_size * 90) % 360 as rotation, case when p_size % 4 = 0 then 0 else p_size * 100 end as duration_ms, case when p_size % 3 = 0 then p_size * 7 when p_size % 4 = 0 then 0 else least(p_partkey * 8000 // (p_size * 100), 2147483647) end as bitrate from part where p_size % 5 <> 0")
+def _(spark, d):
+    s, text = F.col("p_size"), lambda c: c.cast("string")
+    info = S.container_info(F.when(s % 5 != 0, text(s * 10)).otherwise("n/a"), text(s * 4), text(s * 90 - 720), F.when(s % 4 != 0, text(s * 100)), F.col("p_partkey"), F.when(s % 3 == 0, text(s * 7)), F.lit(None).cast("string"))
+    return read(spark, d, "part").select("p_partkey", info.alias("i")).where("i is not null").select("p_partkey", "i.width", "i.height", "i.rotation", F.col("i.duration_ms").cast("long").alias("duration_ms"), "i.bitrate")
+
+
+@query("display_copy", "with z as (select p_partkey, p_size * 80 as w, p_size * 45 as h from part) select p_partkey, case when greatest(w, h) <= 1280 then w else greatest(1, w * 1280 // greatest(w, h)) end as width, case when greatest(w, h) <= 1280 then h else greatest(1, h * 1280 // greatest(w, h)) end as height from z")
+def _(spark, d):
+    s = F.col("p_size")
+    return read(spark, d, "part").select("p_partkey", S.bounded_size(s * 80, s * 45, 1280).alias("z")).select("p_partkey", "z.width", "z.height")
+
+
+@query("thumbnail", "with z as (select p_partkey, p_size * 80 as w, p_size * 45 as h from part) select p_partkey, p_partkey * 1000 // 4 as time_us, case when w <= 512 then w else w * 512 // w end as width, case when w <= 512 then h else h * 512 // w end as height from z")
+def _(spark, d):
+    s = F.col("p_size")
+    return read(spark, d, "part").select("p_partkey", S.thumbnail(s * 80, s * 45, F.col("p_partkey")).alias("z")).select("p_partkey", "z.time_us", "z.size.width", "z.size.height")
+
+
+@query("size_text", "with z as (select o_orderkey, cast(power(10, o_orderkey % 13) as double) * (1 + o_orderkey % 9) as n from orders), u as (select *, case when n > 9e14 then 'PB' when n > 9e11 then 'TB' when n > 9e8 then 'GB' when n > 9e5 then 'MB' when n > 900 then 'kB' else 'B' end as unit, case when n > 9e14 then n / 1e15 when n > 9e11 then n / 1e12 when n > 9e8 then n / 1e9 when n > 9e5 then n / 1e6 when n > 900 then n / 1e3 else n end as v from z) select o_orderkey, concat(case when unit = 'B' or v >= 10 then printf('%.0f', v) when v < 1 then printf('%.2f', v) else printf('%.1f', v) end, ' ', unit) as text from u")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    return read(spark, d, "orders").select("o_orderkey", S.size_text(F.pow(F.lit(10.0), k % 13) * (1 + k % 9)).alias("text"))
+
+
+@query("relative_date", "with z as (select o_orderkey, (o_orderkey % 17 - 2) * 86400000 * (o_orderkey % 5) + o_orderkey % 5000 * 60000 as ms from orders), m as (select *, (2000000000 - ms) // 60000 as mins from z) select o_orderkey, case when ms <= 0 then '' when mins < 60 then concat(greatest(mins, 0), ' minute', case when greatest(mins, 0) = 1 then '' else 's' end, ' ago') when mins < 1440 then concat(mins // 60, ' hour', case when mins // 60 = 1 then '' else 's' end, ' ago') when mins < 10080 then concat(mins // 1440, ' day', case when mins // 1440 = 1 then '' else 's' end, ' ago') else strftime(date '1970-01-01' + cast(ms // 86400000 as int), '%Y-%m-%d') end as text from m")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    ms = (k % 17 - 2) * 86_400_000 * (k % 5) + k % 5000 * 60_000
+    return read(spark, d, "orders").select("o_orderkey", S.relative_date(ms, F.lit(2_000_000_000)).alias("text"))
+
+
+@query("method_labels", "select p_partkey, ['Reconstruction', 'Blur', 'Pixelate', 'Crop'][p_partkey % 4 + 1] as label, p_partkey % 4 < 3 as shader, printf('%.0f Mb/s', (p_size * 2 + 1) * 1.0) as bitrate from part")
+def _(spark, d):
+    m = F.get(F.array(*map(F.lit, library.METHODS)), (F.col("p_partkey") % 4).cast("int"))
+    return read(spark, d, "part").select("p_partkey", S.method_label(m).alias("label"), S.uses_shader(m).alias("shader"), S.bitrate_label((F.col("p_size") * 2 + 1) * 1_000_000).alias("bitrate"))
+
+
+@query("texture_scale", "select p_partkey, cast(p_size * 2 as double) as x, cast(case when p_size % 2 = 0 then -p_size else p_size end as double) as y, cast(least(p_size * 9, 255) as int) as clamped from part")
+def _(spark, d):
+    s = F.col("p_size")
+    return read(spark, d, "part").select("p_partkey", S.texture_scale(s * 2, s, s % 2 == 0).alias("z"), S.byte_clamp(s * 9).alias("clamped")).select("p_partkey", "z.x", "z.y", "clamped")
+
+
+@query("library_exported", f"with {_ITEMS} select id, concat('src', id, '_sans_filigrane.mp4') as name, case when id % 2 = 0 then id else id * 3 end as durationMs from it")
+def _(spark, d):
+    k = F.col("id")
+    rows = index_items(spark, d).withColumns({"source": F.concat(F.lit("src"), k, F.lit(".mov")), "duration_ms": F.when(k % 2 == 0, k).otherwise(0), "source_duration_ms": k * 3})
+    return library.exported(rows).select("id", "name", "durationMs")
+
+
+@query("nearest_candidates", "select p_partkey, list_transform(list_sort([{'d': p_size % 4, 'i': 0}, {'d': p_partkey % 4, 'i': 1}, {'d': 2, 'i': 2}, {'d': (p_size + 1) % 4, 'i': 3}]), lambda x: x.i)[1] as first, list_transform(list_sort([{'d': p_size % 4, 'i': 0}, {'d': p_partkey % 4, 'i': 1}, {'d': 2, 'i': 2}, {'d': (p_size + 1) % 4, 'i': 3}]), lambda x: x.i)[4] as last from part")
+def _(spark, d):
+    s, k = F.col("p_size"), F.col("p_partkey")
+    far = [s % 4, k % 4, F.lit(2), (s + 1) % 4]
+    found = selection.nearest_first(F.array(*(F.struct(x.cast("int").alias("distance"), F.lit(i).alias("i")) for i, x in enumerate(far))))
+    return read(spark, d, "part").select("p_partkey", found.alias("f")).select("p_partkey", F.col("f")[0].i.alias("first"), F.col("f")[3].i.alias("last"))
+
+
+@query("zone_offsets", f"with {_REG}, f as (select zone_id, arg_min(pos * 2, pos) as r from rg group by zone_id), u as (select zone_id, max(pos) as pos from rg where mask_pixels > 0 group by zone_id) select zone_id, coalesce(r, 0) as atlas_row, pos from zn left join f using (zone_id) left join u using (zone_id)")
+def _(spark, d):
+    zone_rows, regions = region_rows(spark, d)
+    regions = regions.withColumn("atlas_row", F.col("pos") * 2)
+    return zones.offsets(zone_rows, regions).join(zones.restorable(regions), "zone_id", "left")
+
+
+@query("preview_routes", f"with {_REG}, u as (select distinct zone_id from rg where mask_pixels > 0) select zn.zone_id, case when zn.zone_id % 4 = 3 then 'source' when u.zone_id is not null and zn.zone_id % 4 = 0 and zn.zone_id % 5 <> 0 then 'restored' else 'shader' end as route from zn left join u on u.zone_id = zn.zone_id")
+def _(spark, d):
+    zone_rows, regions = region_rows(spark, d)
+    k = F.col("zone_id")
+    m = F.get(F.array(*map(F.lit, library.METHODS)), (k % 4).cast("int"))
+    return zones.preview_routes(zone_rows, regions, m, k % 5 != 0)
+
+
+def zone_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Zone lists of ten zones or so: g, zone_id, pos, r."""
+    k = F.col("p_partkey")
+    return sane_rects(spark, d).select(F.floor(k / 10).alias("g"), k.alias("zone_id"), (k % 10).alias("pos"), "r")
 
 
-@query("integrity_gate", "select page_id, octet_length(encode(html)) >= 2000 and starts_with(html, '<!') as ok from pages")
+@query("effect_selection", f"with {_SAN}, z as (select *, k // 10 as g from san), f as (select g, count(*) as n, arg_min({{'l': l, 't': t, 'r': r, 'b': b}}, k) as z from z group by g), c as (select *, list_position([z.t, 1 - z.b, z.l, 1 - z.r], greatest(z.t, 1 - z.b, z.l, 1 - z.r)) as w from f) select g, case when g % 3 = 0 then 'crop' else 'removal' end as effect, least(n, 6) as zones, round(case when g % 3 = 0 then case when w = 4 then z.r else 0 end * 2 - 1 end, 6) + 0.0 as \"left\" from c")
 def _(spark, d):
-    return read(spark, d, "pages").select("page_id", ((F.octet_length("html") >= 2000) & F.col("html").startswith("<!")).alias("ok"))
+    got = zones.effects(zone_lists(spark, d), ["g"], F.when(F.col("g") % 3 == 0, "CROP").otherwise("BLUR"))
+    return got.select("g", "effect", "zones", (F.round("rect.left", 6) + F.lit(0.0)).alias("left"))
+
+
+@query("zone_edits", "with z as (select p_partkey // 10 as g, p_partkey as zone_id, p_partkey % 10 as pos from part), a as (select g, zone_id, pos from z union all select g, max(zone_id) + 1, max(pos) + 1 from z group by g), r as (select * from a where not (pos = 3)) select g, zone_id, pos, pos = max(pos) over (partition by g) as selected from r")
+def _(spark, d):
+    more = zones.add_zone(zone_lists(spark, d), ["g"])
+    return zones.remove_zone(more, ["g"], F.col("pos") == 3).select("g", "zone_id", "pos", "selected")
+
+
+@query("current_results", "select p_partkey, p_size % 3 as version from part where p_size % 3 = p_partkey % 3")
+def _(spark, d):
+    part = read(spark, d, "part")
+    return zones.current_results(part.select("p_partkey", (F.col("p_size") % 3).cast("long").alias("version")), part.select("p_partkey", (F.col("p_partkey") % 3).alias("version")), ["p_partkey"])
+
+
+@query("exact_second_pass", "with s as (select user_id, event_id, event_id % 7 as digest from events where event_id % 2 = 0), n as (select user_id, count(distinct digest) as n from s group by user_id), e as (select user_id, event_id, event_id % 11 as digest, 1 as pass from events where event_id % 2 = 1), u as (select user_id, event_id, digest, 0 as pass from s union all select e.* from e left join n using (user_id) where coalesce(n, 0) < 8) select user_id, arg_min(event_id, (pass, event_id)) as t, digest from u group by user_id, digest")
+def _(spark, d):
+    k = F.col("event_id")
+    rows = read(spark, d, "events").select("user_id", k.alias("t"), k)
+    sync = rows.where("event_id % 2 = 0").select("user_id", "t", (k % 7).alias("digest"))
+    return frames.enough_samples(sync, rows.where("event_id % 2 = 1").select("user_id", "t", (k % 11).alias("digest")), ["user_id"])
+
+

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import display_name, safe_name
+
 # The keys of an index entry in file order, and the methods it may name.
 ITEM = "id: bigint, uri: string, name: string, source: string, createdAt: bigint, durationMs: bigint, width: int, height: int, size: bigint, method: string, zones: int, thumb: string"
 ENVELOPE = f"struct<version: int, items: array<struct<{ITEM}>>>"
@@ -61,7 +63,19 @@ def pruned(items: DataFrame, alive: DataFrame, key: str = "uri") -> DataFrame:
 
 
 def rename(items: DataFrame, key: Column, name: Column) -> DataFrame:
-    return items.withColumn("name", F.when(key, name).otherwise(F.col("name")))
+    """Entries told by key get a typed name, made safe; a blank one keeps the old name as its base."""
+    typed = F.when(F.trim(F.coalesce(name, F.lit(""))) == "", F.col("name")).otherwise(name)
+    return items.withColumn("name", F.when(key, F.concat(safe_name(typed), F.lit(".mp4"))).otherwise(F.col("name")))
+
+
+def exported(rows: DataFrame) -> DataFrame:
+    """Index entries of exports (id, uri, source, duration_ms and source_duration_ms, width, height, size, method, zones,
+    thumb): named after their source, and as long as it where the export tells no duration."""
+    long = F.when(F.col("duration_ms") > 0, F.col("duration_ms")).otherwise(F.col("source_duration_ms"))
+    return rows.select(
+        "id", "uri", display_name(F.col("source")).alias("name"), "source", F.col("id").alias("createdAt"), long.cast("long").alias("durationMs"),
+        "width", "height", "size", "method", "zones", "thumb",
+    )
 
 
 def recent(items: DataFrame, most: int = 8) -> DataFrame:

@@ -8,14 +8,6 @@ import pytest
 from strataflow.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
-QUICK = [
-    "temporal_median_mad", "nearest_rank_quantile", "exposure_regression", "presence_score", "consistent_gradient_x", "significant_gradient", "local_range_r1", "dilate_mask", "masked_median_3x3",
-    "fill_distances", "directional_nearest", "gaussian_blur_9x9", "pixelate", "frame_shift", "distinct_frames", "sliding_chunks_8_3", "presence_split_gap", "hysteresis_presence", "running_motion_reset",
-    "change_filter", "debounce_last", "sample_times", "nearest_frame", "connected_components", "topk_components", "rect_sanitize", "rect_resize", "crop_rect", "region_of_zone", "atlas_packing",
-    "zone_lookup_default", "target_bitrate", "sanitize_name", "safe_version", "is_newer", "duration_format", "library_roundtrip", "library_upsert", "fill_holes", "zone_feather",
-]
-
-
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -28,7 +20,7 @@ def plain(rows):
     return sorted(tuple("" if x is None or x != x else f"{float(x):.6f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_agrees_with_sql(spark, duck, name):
     got = catalog.QUERIES[name](spark, DATA)
     columns = sorted(got.columns)

@@ -35,7 +35,7 @@ def test_translucent_overlay_is_found_and_taken_out():
     frames, over = clip(16, 0.6), overlay()
     layer = layers.estimate(frames)
     assert layer.reason == "ok" and (layer.mask & over).sum() / over.sum() >= 0.9
-    assert (layer.mask & ~over).sum() < 0.3 * over.sum()
+    assert (layer.mask & ~over).sum() < 0.25 * over.sum()
     assert (layer.alpha > 0).sum() > layer.fill.sum() and abs(layer.alpha[27, 30] - 0.6) < 0.12
     error = np.abs(layers.scene(frames[5:6] / 255.0, layer)[0] - background(5))[over]
     assert error.mean() < 0.04
@@ -140,12 +140,12 @@ def test_slow_scenes_stay_in_the_ring():
     restorer = restore.Restorer(catalog.known_layer(1.0))
     for t in range(40):  # half a pixel a frame
         restorer.process(t, wide[:, t // 2 : t // 2 + 96])
-    places = [float(r[2][1]) for r in restorer.ring]
+    places = [float(r[3][1]) for r in restorer.ring]
     assert len(places) < restorer.depth and max(places) - min(places) > 14 and min(np.abs(np.diff(places))) >= 2
     again = restore.Restorer(catalog.known_layer(1.0))
     again.load(restorer.dump())
     last = wide[:, 20:116]
-    assert again.since == restorer.since and np.abs(again.process(40, last).astype(int) - restorer.process(40, last)).max() <= 1
+    assert again.number == restorer.number and np.abs(again.process(40, last).astype(int) - restorer.process(40, last)).max() <= 1
 
 
 def test_restore_query_covers_both_clips(spark):
@@ -153,3 +153,97 @@ def test_restore_query_covers_both_clips(spark):
 
     got = catalog.QUERIES["restore_frames"](spark, "").groupBy("video_id").count().collect()
     assert {tuple(r) for r in got} == {("opaque", 16), ("translucent", 16)}
+
+
+def test_render_against_a_pixel_at_a_time():
+    """The zone kernels over arrays against the same rules for one pixel."""
+    import math
+
+    from strataflow.operators import spatial
+
+    rng = np.random.default_rng(8)
+    image = rng.random((20, 26, 3))
+    zone = (0.3, 0.25, 0.7, 0.65)
+
+    def read(u, v):
+        x, y = min(max(u, 0.001), 0.999) * 26 - 0.5, min(max(v, 0.001), 0.999) * 20 - 0.5
+        out = np.zeros(3)
+        for j, ky in ((0, 1 - (y - math.floor(y))), (1, y - math.floor(y))):
+            for i, kx in ((0, 1 - (x - math.floor(x))), (1, x - math.floor(x))):
+                out += ky * kx * image[min(max(math.floor(y) + j, 0), 19), min(max(math.floor(x) + i, 0), 25)]
+        return out
+
+    def blurred(u, v):
+        grow, total, weight = 0.02 + 0.10 * 0.5, np.zeros(3), 0
+        for i in range(-4, 5):
+            for j in range(-4, 5):
+                k = math.exp(-(i * i + j * j) / 10)
+                total += k * read(u + i * max(0.4 * grow, 1.5 / 26), v + j * max(0.4 * grow, 1.5 / 20))
+                weight += k
+        return total / weight
+
+    def blocks(u, v):
+        n = 24 - 20 * 0.5
+        bw, bh = max(0.4 / n, 2 / 26), max(0.4 / n, 2 / 20)
+        return read((math.floor((u - 0.3) / bw) + 0.5) * bw + 0.3, (math.floor((v - 0.25) / bh) + 0.5) * bh + 0.25)
+
+    for method, one in ((spatial.BLUR, blurred), (spatial.PIXELATE, blocks)):
+        got = spatial.render(image, [zone], method, 0.5, 0.5)
+        border = 0.5 * 0.03 * 20 / 26
+        for y in range(20):
+            for x in range(26):
+                u, v = (x + 0.5) / 26, (y + 0.5) / 20
+                dx, dy = abs(u - 0.5) - 0.2, abs(v - 0.45) - 0.2
+                d = math.hypot(max(dx, 0), max(dy, 0)) + min(max(dx, dy), 0)
+                t = min(max(d / border, 0), 1)
+                mix = 1 - t * t * (3 - 2 * t)
+                want = image[y, x] if d > border else image[y, x] * (1 - mix) + one(u, v) * mix
+                assert np.allclose(got[y, x], want)
+
+
+def test_reconstruction_continues_gradients_and_texture():
+    from strataflow.operators import spatial
+
+    y, x = np.mgrid[0:40, 0:60]
+    ramp = np.repeat(((x + y) / 110)[..., None], 3, -1)
+    hidden = ramp.copy()
+    hidden[14:26, 20:40] = 1.0
+    zone = (20 / 60, 14 / 40, 40 / 60, 26 / 40)
+    assert np.abs(spatial.render(hidden, [zone]) - ramp)[14:26, 20:40].max() < 0.12
+    region = spatial.Region(18, 12, ramp[12:28, 18:42], np.ones((16, 24), bool))
+    assert np.abs(spatial.render(hidden, [zone], spatial.RESTORED, regions=[region]) - ramp).max() < 1e-12
+    assert (spatial.render(hidden, []) == hidden).all() and np.isfinite(spatial.render(hidden, [(0.0, 0.0, 1.0, 1.0)])).all()
+    assert spatial.resize((hidden * 255).astype(np.uint8), 60, 40).shape == (40, 60, 3) and spatial.resize((ramp * 255).astype(np.uint8), 30, 20).shape == (20, 30, 3)
+
+
+def test_frames_in_and_out(spark):
+    from strataflow.operators import spatial
+
+    frames = clip(2, 0.6)
+    rows = pd.DataFrame([("v", t, W, H, frames[t].tobytes()) for t in range(2)], columns=["video_id", "pts_us", "w", "h", "rgb"])
+    df = spark.createDataFrame(rows, "video_id string, pts_us long, w int, h int, rgb binary")
+    small = spatial.fit_frames(df, 48, 24).collect()
+    assert all(len(r.rgb) == 48 * 24 * 3 and (r.w, r.h) == (48, 24) for r in small)
+    region = {r.pts_us: bytes(r.rgb) for r in spatial.read_back(df, 5, 3, 10, 7, flip=True).collect()}
+    assert region[1] == frames[1][::-1][3:10, 5:15].tobytes()
+    assert all(r.rgb != frames[r.pts_us].tobytes() for r in spatial.render_frames(df, [(0.2, 0.2, 0.8, 0.8)], 2).collect())
+
+
+def test_a_frame_costs_few_milliseconds():
+    """350 x 100 pixels under an opaque text-like overlay, the dearest case."""
+    import time
+
+    rng = np.random.default_rng(0)
+    wide = rng.random((100, 500, 3))
+    for _ in range(3):
+        wide = (wide + np.roll(wide, 1, 0) + np.roll(wide, 1, 1)) / 3
+    y, x = np.mgrid[0:100, 0:350]
+    a = np.where((y > 30) & (y < 70) & (x > 60) & (x < 290), np.where((x // 6 + y // 9) % 2 == 0, 1.0, 0.5), 0.0)
+    layer = layers.Layer(np.repeat(np.where(a < 1, a, 0)[..., None], 3, -1), np.where(a < 1, a, 0), a == 1, "ok", 16, list(range(16)), 1.0)
+    restorer = restore.Restorer(layer)
+    frames = [np.floor((a[..., None] + (1 - a[..., None]) * wide[:, 3 * t : 3 * t + 350]) * 255).astype(np.uint8) for t in range(24)]
+    began = time.process_time()
+    for t, frame in enumerate(frames):
+        restorer.process(t, frame)
+    print("ms a frame:", round((time.process_time() - began) / 24 * 1000, 1))
+    assert (time.process_time() - began) / 24 < 0.5 and restorer.motion is not None
