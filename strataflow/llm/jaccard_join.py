@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .blobs import BLOB_DDL, blob_batch, frame, gathered
-from .shared import bounded_batches, dealt, doc_key, drop_written, tasks_for, written
+from .shared import bounded_batches, dealt, doc_key, drop_written, even_parts, tasks_for, written
 
 HOT, TILE, CHUNK_BYTES = 64, 384, 3 << 20
 FRAGMENT_COLUMNS = 4096
@@ -79,7 +79,7 @@ def _gram(bits: int, part: np.ndarray | int, tail: np.ndarray) -> np.ndarray:
     return (np.uint64(part) << np.uint64(64 - bits)) | (tail >> np.uint64(bits - 16))
 
 
-def _deal(k: int, fragments: int, owners: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _deal(k: int, fragments: int, owners: int, parts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Batches of documents -> blobs for fragments (parts 0 ..) and owners (parts fragments ..)."""
     bits = fragments.bit_length() - 1
 
@@ -115,20 +115,20 @@ def _deal(k: int, fragments: int, owners: int) -> Callable[[Iterator[pa.RecordBa
             text, keys = b.column("text"), b.column("key").to_numpy()
             ids = b.column("doc_id")
             for lo, hi in K.slices(K.texts(text)[1], CHUNK_BYTES):
-                yield blob_batch(one(ids.slice(lo, hi - lo), keys[lo:hi], text.slice(lo, hi - lo)))
+                yield blob_batch([(int(parts[p]), kind, blob) for p, kind, blob in one(ids.slice(lo, hi - lo), keys[lo:hi], text.slice(lo, hi - lo))])
 
     return run
 
 
-def _count(fragments: int, owners: int) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
+def _count(fragments: int, owners: int, parts: np.ndarray, home: np.ndarray) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
     """One fragment: shared n-grams with their document frequency, dealt to the documents' owners."""
     bits = fragments.bit_length() - 1
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        part = key[0].as_py()
+        part = int(np.searchsorted(parts, key[0].as_py()))
         kinds, blobs = t.column("kind").to_pylist(), t.column("blob").to_pylist()
         if part >= fragments:
-            return pa.Table.from_batches([blob_batch([(part - fragments, k, b) for k, b in zip(kinds, blobs)])])
+            return pa.Table.from_batches([blob_batch([(int(home[part - fragments]), k, b) for k, b in zip(kinds, blobs)])])
         mine = [b for k, b in zip(kinds, blobs) if k == 2]
         hot = np.unique(np.concatenate([np.zeros(0, np.uint64), *(gathered([b])[0] for k, b in zip(kinds, blobs) if k == 3)]))
         if not mine:
@@ -145,7 +145,7 @@ def _count(fragments: int, owners: int) -> Callable[[tuple[pa.Scalar, ...], pa.T
         shared = df > 1
         gram, owner_of, df = gram[shared], owner_of[shared], df[shared]
         gram = _gram(bits, part, gram)
-        rows = [(g, 1, frame(owner_of[ix], gram[ix], df[ix])) for g, ix in _groups((owner_of.view(np.uint64) % np.uint64(owners)).astype(np.int64))]
+        rows = [(int(home[g]), 1, frame(owner_of[ix], gram[ix], df[ix])) for g, ix in _groups((owner_of.view(np.uint64) % np.uint64(owners)).astype(np.int64))]
         return pa.Table.from_batches([blob_batch(rows)])
 
     return run
@@ -202,8 +202,9 @@ def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     tasks = tasks_for(docs)
     fragments, owners = fragment_count(tasks), max(16, tasks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", doc_key().alias("key"))
-    found = rows.mapInArrow(_deal(k, fragments, owners), BLOB_DDL)
-    counted = dealt(found, tasks).groupBy("part").applyInArrow(_count(fragments, owners), BLOB_DDL)
+    parts, home = even_parts(fragments + owners, tasks), even_parts(owners, tasks)
+    found = rows.mapInArrow(_deal(k, fragments, owners, parts), BLOB_DDL)
+    counted = dealt(found, tasks).groupBy("part").applyInArrow(_count(fragments, owners, parts, home), BLOB_DDL)
     return dealt(counted, tasks).groupBy("part").applyInArrow(_assemble(percent), SETS_DDL)
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .blobs import BLOB_DDL, blob_batch, frame, gathered
-from .shared import bounded_batches, dealt, doc_key, fits_hash, free_names, map_rows, tasks_for, written
+from .shared import bounded_batches, dealt, doc_key, even_parts, fits_hash, free_names, map_rows, tasks_for, written
 
 LENGTH, SEED, HOT_GROUP, COLLECTION = 200, 100, 20_000, 20_000
 SIDE = LENGTH - SEED
@@ -126,7 +126,7 @@ class _Sent:
         return order[np.repeat(many, n)], order[lo[~before]], (n[~before] > 1).astype(np.uint8)
 
 
-def _deal(fragments: int, owners: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _deal(fragments: int, owners: int, number: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Sent()
         for batch in batches:
@@ -147,18 +147,18 @@ def _deal(fragments: int, owners: int) -> Callable[[Iterator[pa.RecordBatch]], I
             for f, ix in _by_part((h[sent] % np.uint64(fragments)).astype(np.int64)):
                 i = sent[ix]
                 rows.append((f, 1, frame(h[i], block[i], key[i], m[i].astype(np.uint32), (m[i] - s0[i]).astype(np.uint8), (s1[i] - s0[i]).astype(np.uint8), multi[ix])))
-            yield blob_batch(rows)
+            yield blob_batch([(int(number[p]), kind, blob) for p, kind, blob in rows])
 
     return run
 
 
-def _settle(fragments: int, owners: int) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
+def _settle(fragments: int, owners: int, number: np.ndarray, home: np.ndarray) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
     """One fragment: windows of blocks that occur twice (kind 0), and blocks whose bytes are needed (kind 1)."""
 
     def run(key_: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        part, blobs = key_[0].as_py(), t.column("blob").to_pylist()
+        part, blobs = int(np.searchsorted(number, key_[0].as_py())), t.column("blob").to_pylist()
         if part >= fragments:
-            return pa.Table.from_batches([blob_batch([(part - fragments, 0, b) for b in blobs])])
+            return pa.Table.from_batches([blob_batch([(int(home[part - fragments]), 0, b) for b in blobs])])
         h, block, key, m, left, span, multi = gathered(blobs)
         order = np.lexsort((multi, block, h))
         h, block, key, m, left, span, multi = (x[order] for x in (h, block, key, m, left, span, multi))
@@ -176,11 +176,11 @@ def _settle(fragments: int, owners: int) -> Callable[[tuple[pa.Scalar, ...], pa.
         full = np.flatnonzero(np.repeat(twice, n) & (multi == 0))
         k, a, z = merged(key[full], s0[full], s0[full] + span[full])
         for g, ix in _by_part((k.view(np.uint64) % np.uint64(owners)).astype(np.int64)):
-            rows.append((g, 0, frame(k[ix], a[ix].astype(np.uint32), z[ix].astype(np.uint32))))
+            rows.append((int(home[g]), 0, frame(k[ix], a[ix].astype(np.uint32), z[ix].astype(np.uint32))))
         ask = lo[needed]
         for g, ix in _by_part((key[ask].view(np.uint64) % np.uint64(owners)).astype(np.int64)):
             i = ask[ix]
-            rows.append((g, 1, frame(key[i], h[i], m[i], left[i], span[i], twice[needed][ix], hot[needed][ix])))
+            rows.append((int(home[g]), 1, frame(key[i], h[i], m[i], left[i], span[i], twice[needed][ix], hot[needed][ix])))
         return pa.Table.from_batches([blob_batch(rows)])
 
     return run
@@ -349,8 +349,9 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
     tasks = tasks_for(docs)
     fragments = owners = max(16, tasks)
     rows = docs.select("text", doc_key().alias("key"))
-    found = rows.mapInArrow(_deal(fragments, owners), BLOB_DDL)
-    settled = dealt(found, tasks).groupBy("part").applyInArrow(_settle(fragments, owners), BLOB_DDL)
+    number, home = even_parts(fragments + owners, tasks), even_parts(owners, tasks)
+    found = rows.mapInArrow(_deal(fragments, owners, number), BLOB_DDL)
+    settled = dealt(found, tasks).groupBy("part").applyInArrow(_settle(fragments, owners, number, home), BLOB_DDL)
     marks = written(dealt(settled, tasks).groupBy("part").applyInArrow(_marks, MARKS_DDL), "marks")
     total, needs, spans = (x or 0 for x in marks.agg(F.sum("n_needs"), F.sum(F.octet_length("needs")), F.sum(F.octet_length("spans"))).first())
     collections = max(16, -(-total // COLLECTION))

@@ -135,3 +135,16 @@ def test_pipeline_stages(spark, docs, rows, empty):
 def test_pipeline_runs_whole(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 100 and got.where("offset + length > 2048").count() == 0
+
+
+def test_parts_are_dealt_evenly(spark):
+    from pyspark.sql import functions as F
+
+    from strataflow.llm import shared
+
+    for count, tasks in ((125, 61), (5, 7), (64, 4), (3000, 1000), (1, 1)):
+        ids = shared.even_parts(count, tasks)
+        assert len(set(ids.tolist())) == count and (ids[1:] > ids[:-1]).all()
+        rows = spark.createDataFrame([(int(i),) for i in ids], "part long").select(F.pmod(F.hash("part"), F.lit(tasks)).alias("p")).groupBy("p").count().collect()
+        assert max(r[1] for r in rows) == -(-count // tasks) and len(rows) == min(count, tasks)
+        assert {r[0] for r in rows} == set(shared._hash_place(ids, tasks).tolist())
