@@ -69,8 +69,7 @@ def _(spark, d):
 
 @query("mean_abs_deviation", f"with {PX}, m as (select clip, t, median(v) as med from px group by all) select clip, t, round(avg(abs(v - med)), 6) + 0.0 as mad from px join m using (clip, t) group by clip, t")
 def _(spark, d):
-    rows = px(spark, d)
-    return rows.join(rows.groupBy("clip", "t").agg(F.median("v").alias("med")), ["clip", "t"]).groupBy("clip", "t").agg(F.avg(F.abs(F.col("v") - F.col("med"))).alias("mad")).select("clip", "t", r6("mad"))
+    return stats.with_median(px(spark, d), ["clip", "t"]).groupBy("clip", "t").agg(F.avg(F.abs(F.col("v") - F.col("med"))).alias("mad")).select("clip", "t", r6("mad"))
 
 
 @query("nearest_rank_quantile", "select l_returnflag, list_sort(list(l_quantity))[cast(floor((count(*) - 1) * 0.9) as bigint) + 1] as q_value from lineitem group by l_returnflag")
@@ -85,15 +84,12 @@ def _(spark, d):
 
 @query("exposure_regression", f"with {PX}, m as (select clip, y, x, median(v) as med from px group by all), j as (select * from px join m using (clip, y, x)), g as (select clip, t, case when var_pop(med) > 1e-5 then greatest(0.3, least(3.0, covar_pop(med, v) / var_pop(med))) else 1.0 end as gain, avg(v) as av, avg(med) as am from j group by clip, t) select clip, t, {q6('gain')}, {q6('av - gain * am', 'offs')} from g")
 def _(spark, d):
-    rows = px(spark, d)
-    med = rows.groupBy("clip", "y", "x").agg(F.median("v").alias("med"))
-    return stats.exposure(rows.join(med, ["clip", "y", "x"]), ["clip", "t"]).select("clip", "t", r6("gain"), r6("offset", "offs"))
+    return stats.exposure(stats.with_median(px(spark, d), ["clip", "y", "x"]), ["clip", "t"]).select("clip", "t", r6("gain"), r6("offset", "offs"))
 
 
 @query("motion_metric", f"with {PX}, m as (select clip, y, x, median(v) as med from px group by all), j as (select * from px join m using (clip, y, x)), g as (select clip, t, case when var_pop(med) > 1e-5 then greatest(0.3, least(3.0, covar_pop(med, v) / var_pop(med))) else 1.0 end as gain, avg(v) as av, avg(med) as am from j group by clip, t), e as (select clip, y, x, v - (gain * med + (av - gain * am)) as res from j join g using (clip, t)), em as (select clip, y, x, median(res) as rm from e group by all), s as (select clip, y, x, median(abs(res - rm)) * 1.4826 as mad from e join em using (clip, y, x) group by clip, y, x) select clip, round(median(mad), 6) + 0.0 as motion from s where x < 1 or x >= 7 or y < 1 or y >= 7 group by clip")
 def _(spark, d):
-    rows = px(spark, d)
-    joined = rows.join(rows.groupBy("clip", "y", "x").agg(F.median("v").alias("med")), ["clip", "y", "x"])
+    joined = stats.with_median(px(spark, d), ["clip", "y", "x"])
     residual = joined.join(stats.exposure(joined, ["clip", "t"]), ["clip", "t"]).withColumn("res", F.col("v") - (F.col("gain") * F.col("med") + F.col("offset")))
     return stats.median_mad(frames.ring(residual, 8, 8, 1), ["clip", "y", "x"], "res").groupBy("clip").agg(F.median("mad").alias("motion")).select("clip", r6("motion"))
 
@@ -129,9 +125,7 @@ def _(spark, d):
 
 @query("presence_score", f"with {PX}, m as (select clip, y, x, median(v) as med from px group by all) select clip, t, round(case when sum(med * med) > 1e-3 then greatest(-1, least(2, sum(v * med) / sum(med * med))) else 1 end, 6) + 0.0 as presence from px join m using (clip, y, x) group by clip, t")
 def _(spark, d):
-    rows = px(spark, d)
-    med = rows.groupBy("clip", "y", "x").agg(F.median("v").alias("med"))
-    return stats.through_origin(rows.join(med, ["clip", "y", "x"]), ["clip", "t"], "med", "v").select("clip", "t", r6("presence"))
+    return stats.through_origin(stats.with_median(px(spark, d), ["clip", "y", "x"]), ["clip", "t"], "med", "v").select("clip", "t", r6("presence"))
 
 
 @query("match_error", f"with {PX}, p as (select clip, t, v, lag(v) over (partition by clip, y, x order by t) as was from px) select clip, t, round(stddev_pop(v - was), 6) + 0.0 as error from p where was is not null group by clip, t")
