@@ -132,9 +132,14 @@ def test_pipeline_stages(spark, docs, rows, empty):
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
-def test_pipeline_runs_whole(spark):
-    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert got.count() > 100 and got.where("offset + length > 2048").count() == 0
+def test_pipeline_stages_on_nothing_and_on_odd_rows(spark, empty):
+    data, ddl = "/root/testdata/sf0.001", "doc_id long, text string, n_chars long, `a.b` string"
+    odd = spark.createDataFrame([(None, None, None, "x"), (1, "", 0, "x"), (1, "", 0, "x"), (2, " \n", 2, None)], ddl)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, data).count() == 0, name
+        got = stage(spark, odd, data)
+        assert got.count() == {"quality_rules": 0}.get(name, 4), name
+        assert name == "best_fit_packing" or got.columns == odd.columns
 
 
 def test_parts_are_dealt_evenly(spark):
