@@ -1,7 +1,8 @@
 """Corpus pipeline: quality rules, near duplicates, repeated passages, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes and rereads every
-result as Parquet, as the next stage's docs. All stages but the last return the columns of documents.
+result as Parquet, as the next stage's docs. All stages but the last return the columns of documents,
+extra ones of any name included, and an empty table for an empty table.
 No stage is expressed by SQL as a whole (compression ratios, token ids), so the pipeline is tested
 against brute-force versions.
 """
@@ -21,7 +22,8 @@ ORACLE_SQL: str | None = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go: null, empty and wordless texts always, repeated rows all or none, a null id
+    as any other; a verdict depends on the text alone, so there are no ties."""
     ship(spark)
     return quality_rules.filter_documents(docs)
 
@@ -32,7 +34,7 @@ BROADCAST_KEYS = 2_000_000
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked documents the one with the smallest id stays (null ids last, of
-    repeated rows one); documents that link with nothing all stay."""
+    repeated rows one); documents that link with nothing all stay, null, empty and wordless texts among them."""
     ship(spark)
     found = jaccard_join.join_documents(docs).where("group is not null").select("key", "doc_id", "group")
     found = written(found, "linked")
@@ -50,20 +52,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 200-byte strings that occur elsewhere go; documents stay, n_chars follows."""
+    """Bytes of 200-byte strings that occur elsewhere go; documents stay, n_chars follows. Null texts stay null, texts
+    under 200 bytes as they are; repeated rows are repeats of each other, and no copy is spared; bytes of a
+    character that was cut become U+FFFD."""
     ship(spark)
     out = suffix_dedup.dedup_documents(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null, empty and wordless texts and items match nothing; repeated
+    documents go all or none; without items every document stays."""
     ship(spark)
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified. Null and empty texts are one piece of the
+    end id; repeated rows are packed as often as they occur; of pieces of equal length any may stand first."""
     ship(spark)
     pieces = packing.token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, seq_len=2048)
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), seq_len=2048)

@@ -247,3 +247,15 @@ def test_a_frame_costs_few_milliseconds():
         restorer.process(t, frame)
     print("ms a frame:", round((time.process_time() - began) / 24 * 1000, 1))
     assert (time.process_time() - began) / 24 < 0.5 and restorer.motion is not None
+
+
+def test_a_stopped_query_keeps_what_it_published(spark, tmp_path):
+    from strataflow.streaming.jobs import stop_and_keep
+
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    for name, source, want in (("kept_rows", stream, 5), ("kept_none", stream.where("id > 100"), None)):
+        query = source.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
+        query.processAllAvailable()
+        kept = stop_and_keep(query, name)
+        assert (kept.count() if kept is not None else None) == want and not query.isActive
