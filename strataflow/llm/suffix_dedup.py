@@ -44,6 +44,8 @@ from .shared import bounded_batches, dealt, doc_key, even_parts, fits_hash, free
 
 LENGTH, SEED, HOT_GROUP, COLLECTION = 200, 100, 20_000, 20_000
 SIDE = LENGTH - SEED
+#: Bytes of text whose anchors are found at once, but for a longer document.
+RUN = 1 << 19
 #: Repeated hashes that a task remembers (8 bytes each); beyond, it may send one again.
 KNOWN = 1 << 16
 
@@ -133,7 +135,7 @@ def _deal(fragments: int, owners: int, number: np.ndarray) -> Callable[[Iterator
             keys = batch.column("key").to_numpy()
             data, at = K.texts(batch.column("text"))
             parts = []
-            for lo, hi in K.slices(at):
+            for lo, hi in K.slices(at, RUN):
                 row, h, block, m, s0, s1 = anchors(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 parts.append((keys[lo + row], h, block, m, s0, s1))
             if not parts:
