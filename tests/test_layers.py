@@ -257,5 +257,5 @@ def test_a_stopped_query_keeps_what_it_published(spark, tmp_path):
     for name, source, want in (("kept_rows", stream, 5), ("kept_none", stream.where("id > 100"), None)):
         query = source.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
         query.processAllAvailable()
-        kept = stop_and_keep(query, name)
+        kept = stop_and_keep(spark, query, name)
         assert (kept.count() if kept is not None else None) == want and not query.isActive
