@@ -40,7 +40,7 @@ from . import kernels as K
 from .blobs import BLOB_DDL, blob_batch, frame, gathered
 from .shared import bounded_batches, dealt, doc_key, drop_written, even_parts, tasks_for, written
 
-HOT, TILE, CHUNK_BYTES = 64, 384, 2 << 20
+HOT, TILE, CHUNK_BYTES = 64, 384, 1 << 20
 FRAGMENT_COLUMNS = 4096
 #: Most fragments of the hash space.
 MOST_FRAGMENTS = 1 << 20

@@ -149,7 +149,7 @@ def fits_hash(df: DataFrame, size: int) -> DataFrame:
     return df.hint("shuffle_hash") if size // shuffle_parts(df.sparkSession) <= HASH_SIDE else df
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Record batches to Python hold so many rows at most from now on: whole texts are long, and a worker
     holds a batch beside what it makes of it."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
